@@ -83,7 +83,7 @@ def p2_state(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _P3_FATE = """
-WITH r AS (SELECT DISTINCT partition, origin, seq, ts, observed_ts, epoch_ms(ts) AS ts_ms, epoch_ms(observed_ts) AS observed_ms FROM otlp_logs),
+WITH r AS (SELECT DISTINCT partition, origin, seq, ts, observed_ts, (epoch_us(ts) // 1000) AS ts_ms, (epoch_us(observed_ts) // 1000) AS observed_ms FROM otlp_logs),
 c AS (SELECT partition, complete_through_ms AS thru, min(at_ms) AS at FROM watermark_log WHERE event = 'LakeCommitOk' GROUP BY ALL),
 f AS (SELECT r.partition, r.origin, r.seq, r.ts_ms, r.observed_ms, min(c.at) AS release_ms FROM r LEFT JOIN c ON c.partition = r.partition AND c.thru >= r.ts_ms GROUP BY ALL)
 """
@@ -174,7 +174,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 @R.add(
     "p6_per_partition",
     """
-SELECT partition, count(*) AS n_rows, count(body) AS n_bodies, min(epoch_ms(ts)) AS first_ms, max(epoch_ms(ts)) AS last_ms, sum(severity_number)::BIGINT AS severity_sum
+SELECT partition, count(*) AS n_rows, count(body) AS n_bodies, min((epoch_us(ts) // 1000)) AS first_ms, max((epoch_us(ts) // 1000)) AS last_ms, sum(severity_number)::BIGINT AS severity_sum
 FROM otlp_logs GROUP BY partition
 """,
 )
