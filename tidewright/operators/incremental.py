@@ -34,10 +34,11 @@ def committed_marks(applied_log: DataFrame) -> DataFrame:
 def beyond_marks(source: DataFrame, marks: DataFrame, stream: Sequence[str] = ("partition", "origin"), seq: str = "seq", mark: str = "applied_seq") -> DataFrame:
     """Rows of ``source`` that no mark covers (anti-join on stream and seq <= mark); copies of a record pass alike.
 
-    A stream without mark is taken whole. Null stream fields match null ones; a null seq is beyond no mark. Marks are broadcast if counted to be
+    A stream without mark is taken whole. Null stream fields match null ones; a null seq is beyond no mark. All columns of ``source`` are kept. Marks are broadcast if counted to be
     few, else a hot stream's rows are spread over shards and its one mark is copied there.
     """
-    return lookup_join(source, marks, list(stream), [seq], "left").where(F.col(mark).isNull() | (F.col(seq) > F.col(mark))).drop(mark)
+    held = marks.select(*stream, F.col(mark).alias("__mark"))
+    return lookup_join(source, held, list(stream), [seq], "left").where(F.col("__mark").isNull() | (F.col(seq) > F.col("__mark"))).drop("__mark")
 
 
 class IncrementalTarget:

@@ -48,16 +48,17 @@ def classify(records: DataFrame, watermarks: DataFrame, ts: Column, observed: Co
     """``records`` with ``ts_ms``, ``observed_ms``, ``period``, ``release_ms`` and ``fate`` (final, provisional, rejected).
 
     A null observed time means on time: it is never past the cut-off. A null event time belongs to no period and is
-    provisional for good. A null partition has no watermark. Extra columns pass through.
+    provisional for good. A null partition has no watermark. Extra columns pass through, except for those named like a result,
+    which are replaced.
     """
     rows = records.withColumns({"ts_ms": epoch_ms(ts), "observed_ms": epoch_ms(observed)})
     rows = rows.withColumn("period", F.floor(F.col("ts_ms") / period_ms))
     wanted = rows.select("partition", "period").distinct()
-    cells = materialise(release_steps(watermarks, wanted, period_ms), "steps")
+    cells = materialise(release_steps(watermarks, wanted, period_ms), "steps").withColumnsRenamed({"steps": "__steps", "after_ms": "__after"})
     joined = lookup_join(rows, cells, ["partition", "period"], ["ts_ms", "observed_ms"], "left")
-    reached = F.filter("steps", lambda s: s["through"] >= F.col("ts_ms"))
-    release = F.least(F.array_min(F.transform(reached, lambda s: s["at"])), F.col("after_ms"))
-    out = joined.withColumn("release_ms", release).drop("steps", "after_ms")
+    reached = F.filter("__steps", lambda s: s["through"] >= F.col("ts_ms"))
+    release = F.least(F.array_min(F.transform(reached, lambda s: s["at"])), F.col("__after"))
+    out = joined.withColumn("release_ms", release).drop("__steps", "__after")
     fate = F.when(F.col("release_ms") <= F.col("observed_ms"), REJECTED).when(F.col("release_ms").isNotNull(), FINAL).otherwise(PROVISIONAL)
     return out.withColumn("fate", fate)
 

@@ -530,3 +530,28 @@ def outcome_tallies(spark, folder):
 def journal_gaps(spark, folder):
     """Missing and repeated numbers of each node's journal."""
     return predicates.journal_gaps(table(spark, folder, "client_acks"))
+
+
+# the flagship: from records to the served union
+
+
+@R.add(
+    "flagship_slice",
+    """WITH e AS (SELECT event_type || '.0' AS partition, epoch_us(ts) // 1000 AS ms, (epoch_us(ts) // 86400000000) AS day FROM events),
+n AS (SELECT partition, day, row_number() OVER (PARTITION BY partition ORDER BY day) - 1 AS w, count(*) OVER (PARTITION BY partition) AS k FROM (SELECT DISTINCT partition, day FROM e)),
+m AS (SELECT e.partition, max(ms) AS b FROM e JOIN n USING (partition, day) WHERE w < k - 3 GROUP BY e.partition)
+SELECT e.partition, count(*) AS n, count(*) FILTER (WHERE ms <= b) AS n_cold, count(*) FILTER (WHERE b IS NULL OR ms > b) AS n_hot, max(b) AS complete_through_ms FROM e LEFT JOIN m USING (partition) GROUP BY e.partition""",
+)
+def flagship_slice(spark, folder):
+    """Events as a dataset: numbered, sealed by day except for the last three, watermarked, and served as committed and hot rows together."""
+    events = table(spark, folder, "events").select("event_id", "user_id", "event_type", "ts")
+    rows = events.select(naming.partition_id(F.col("event_type"), F.lit(0)).alias("partition"), F.concat(F.lit("n"), (F.col("user_id") % 3).cast("string")).alias("origin"), "event_id", "ts")
+    rows = rows.withColumn("seq", F.row_number().over(Window.partitionBy(*PO).orderBy("ts", "event_id")).cast("bigint")).withColumn("day", F.floor(engine.time_ms("ts") / 86_400_000))
+    days = rows.select("partition", "day").distinct().withColumn("window_id", F.row_number().over(Window.partitionBy("partition").orderBy("day")).cast("bigint") - 1)
+    days = days.withColumn("of", F.count(F.lit(1)).over(Window.partitionBy("partition")))
+    staged = materialise(rows.join(days, ["partition", "day"]), "staged")
+    manifests = window_manifests(staged.where("window_id < of - 3"), DatasetDecl("events"))
+    marks = materialise(watermark.advance(materialise(manifests, "manifests")).select("partition", "complete_through_ms"), "marks")
+    both = engine.tier_union(staged.where("window_id < of - 3").withColumn("tier", F.lit("cold")), staged.withColumn("tier", F.lit("hot")), marks.where("complete_through_ms is not null"), engine.time_ms("ts"))
+    out = both.groupBy("partition").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("tier") == "cold").alias("n_cold"), F.count_if(F.col("tier") == "hot").alias("n_hot"))
+    return out.join(marks, "partition", "left")
