@@ -95,8 +95,8 @@ def _with(batch: pa.RecordBatch, keep: list[str], name: str, values: pa.Array) -
 
 
 def encode(docs: DataFrame, text: str = "text", keep: list[str] | None = None, path: str = TOKENIZER, out: str = "ids") -> DataFrame:
-    """``keep`` columns (default: all but the text) and the ids of each text, one row per row of ``docs``. No shuffle."""
-    keep = [c for c in docs.columns if c != text] if keep is None else keep
+    """``keep`` columns (default: all but the text and any of the result's name) and the ids of each text, one row per row of ``docs``. No shuffle."""
+    keep = [c for c in docs.columns if c not in (text, out)] if keep is None else keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,7 +109,7 @@ def encode(docs: DataFrame, text: str = "text", keep: list[str] | None = None, p
 
 def count_tokens(docs: DataFrame, text: str = "text", keep: list[str] | None = None, path: str = TOKENIZER, out: str = "n_tokens") -> DataFrame:
     """``keep`` columns and the number of tokens of each text; the ids never leave the worker."""
-    keep = [c for c in docs.columns if c != text] if keep is None else keep
+    keep = [c for c in docs.columns if c not in (text, out)] if keep is None else keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,7 +127,7 @@ def decode_ids(ids: list[int] | np.ndarray | None, path: str = TOKENIZER) -> str
 
 def decode(encoded: DataFrame, ids: str = "ids", path: str = TOKENIZER, out: str = "text") -> DataFrame:
     """``encoded`` with ``out``, the text of its ids, in place of ``ids``. A null list gives the empty text; ids outside the vocabulary fail."""
-    keep = [c for c in encoded.columns if c != ids]
+    keep = [c for c in encoded.columns if c not in (ids, out)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,7 +152,7 @@ def char_spans(text: str, ids: list[int], path: str = TOKENIZER) -> tuple[np.nda
 
 def spans(docs: DataFrame, text: str = "text", keep: list[str] | None = None, path: str = TOKENIZER) -> DataFrame:
     """``keep`` columns and, per row, three parallel lists: ids, first and end character (``begins``, ``ends``)."""
-    keep = [c for c in docs.columns if c != text] if keep is None else keep
+    keep = [c for c in docs.columns if c not in (text, "ids", "begins", "ends")] if keep is None else keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
