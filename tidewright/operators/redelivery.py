@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewright.operators.components import components
-from tidewright.operators.skew import fragment_join
+from tidewright.operators.skew import lookup_join
 from tidewright.session import materialise
 from tidewright.sources.atomic import list_names, put_if_absent, read_bytes
 
@@ -29,8 +29,12 @@ BLANKS = " \t\n\x0b\x0c\r"
 #: Bits in one bitmap of Spark's bitmap functions.
 BUCKET_BITS = 32_768
 
-TOKEN = T.StructType([T.StructField("tenant", T.StringType()), T.StructField("rid", T.StringType()), T.StructField("inc", T.StringType()), T.StructField("idx", T.LongType())])
-DICTIONARY = T.StructType([T.StructField("token", TOKEN), T.StructField("shard", T.IntegerType()), T.StructField("code", T.LongType()), T.StructField("kept", T.LongType())])
+#: An identifier in flat columns: (tenant, rid) or (tenant, inc, idx), the other fields null.
+TOKEN = ["tenant", "rid", "inc", "idx"]
+DICTIONARY = T.StructType(
+    [T.StructField("tenant", T.StringType()), T.StructField("rid", T.StringType()), T.StructField("inc", T.StringType()), T.StructField("idx", T.LongType())]
+    + [T.StructField("shard", T.IntegerType()), T.StructField("code", T.LongType()), T.StructField("kept", T.LongType())]
+)
 BITMAPS = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("bucket", T.LongType()), T.StructField("bits", T.BinaryType())])
 VERDICTS = T.StructType([T.StructField("line_id", T.LongType()), T.StructField("kept_line_id", T.LongType())])
 
@@ -40,13 +44,12 @@ def _trimmed(c: str) -> Column:
 
 
 def _identified(lines: DataFrame) -> DataFrame:
-    """line_id and the line's two identifiers as tokens; a token is null where it identifies nothing."""
-    rid, inc = F.lower(_trimmed("request_id")), F.col("source_incarnation")
+    """line_id and the line's identifiers: rid, and inc with idx, null where they identify nothing; tenant is null if neither does."""
     known = F.col("tenant").isNotNull()
-    none, no_idx = F.lit(None).cast("string"), F.lit(None).cast("bigint")
-    a = F.when(known & (rid != ""), F.struct(F.col("tenant").alias("tenant"), rid.alias("rid"), none.alias("inc"), no_idx.alias("idx")))
-    b = F.when(known & (_trimmed("source_incarnation") != "") & F.col("first_index").isNotNull(), F.struct(F.col("tenant").alias("tenant"), none.alias("rid"), inc.alias("inc"), F.col("first_index").alias("idx")))
-    return lines.select("line_id", a.alias("a"), b.alias("b"))
+    rid = F.nullif(F.lower(_trimmed("request_id")), F.lit(""))
+    pair = (_trimmed("source_incarnation") != "") & F.col("first_index").isNotNull()
+    rows = lines.select("line_id", F.col("tenant"), F.when(known, rid).alias("rid"), F.when(known & pair, F.col("source_incarnation")).alias("inc"), F.when(known & pair, F.col("first_index")).alias("idx"))
+    return rows.withColumn("tenant", F.when(F.col("rid").isNotNull() | F.col("inc").isNotNull(), F.col("tenant")))
 
 
 def bit_is_set(bits: Column, code: Column) -> Column:
@@ -105,21 +108,24 @@ class SeenStore:
         names = {k: f"{k}-{head['version'] + 1:06d}-{run}" for k in ("verdicts", "dictionary", "bitmaps")}
 
         ident = _identified(lines)
-        # copies under the same identifiers are combined on the map side; a set is named by its least line
-        sets = materialise(ident.where("a is not null or b is not null").groupBy("a", "b").agg(F.min("line_id").alias("set"), F.count(F.lit(1)).alias("n")), "sets")
-        by_token = sets.select("set", F.explode(F.array_compact(F.array("a", "b"))).alias("token"))
-        tokens = by_token.groupBy("token").agg(F.min("set").alias("low"), F.count(F.lit(1)).alias("sets"))
-
-        # dictionary: known codes, and dense new ones after the shard's greatest
+        # copies under the same identifiers are combined on the map side; a set of identifiers is named by its least line
+        sets = materialise(ident.where("tenant is not null").groupBy(*TOKEN).agg(F.min("line_id").alias("set"), F.count(F.lit(1)).alias("n")), "sets")
+        none, no_idx = F.lit(None).cast("string"), F.lit(None).cast("bigint")
+        first = F.when(F.col("rid").isNotNull(), F.struct("tenant", "rid", none.alias("inc"), no_idx.alias("idx")))
+        second = F.when(F.col("inc").isNotNull(), F.struct("tenant", none.alias("rid"), "inc", "idx"))
+        by_token = sets.select("set", F.explode(F.array_compact(F.array(first, second))).alias("t")).select("set", "t.*")
+        tokens = by_token.groupBy(*TOKEN).agg(F.min("set").alias("low"), F.count(F.lit(1)).alias("sets"))
+
+        # known codes of the identifiers, and whether their bits are set
         known = self.dictionary()
-        tokens = tokens.withColumn("shard", F.pmod(F.xxhash64("token.tenant", "token.rid", "token.inc", "token.idx"), F.lit(shards)).cast("int"))
+        tokens = tokens.withColumn("shard", F.pmod(F.xxhash64(*TOKEN), F.lit(shards)).cast("int"))
         if head["version"]:
-            old = known.select(*[F.col(f"token.{f}").alias("o_" + f) for f in TOKEN.names], "code", "kept")
+            old = known.select(*[F.col(f).alias("o_" + f) for f in TOKEN], "code", "kept")
             same = F.lit(True)
-            for f in TOKEN.names:
-                same = same & F.col(f"token.{f}").eqNullSafe(F.col("o_" + f))
-            tokens = tokens.join(old, same, "left").drop(*["o_" + f for f in TOKEN.names])
-            seen = self.bitmaps().withColumnRenamed("shard", "b_shard").withColumnRenamed("bucket", "b_bucket")
+            for f in TOKEN:
+                same = same & F.col(f).eqNullSafe(F.col("o_" + f))
+            tokens = tokens.join(old, same, "left").drop(*["o_" + f for f in TOKEN])
+            seen = self.bitmaps().withColumnsRenamed({"shard": "b_shard", "bucket": "b_bucket"})
             tokens = tokens.join(seen, (F.col("shard") == F.col("b_shard")) & (F.floor(F.col("code") / BUCKET_BITS) == F.col("b_bucket")), "left")
             tokens = tokens.withColumn("kept", F.when(bit_is_set(F.col("bits"), F.col("code")), F.col("kept"))).drop("bits", "b_shard", "b_bucket")
         else:
@@ -127,31 +133,32 @@ class SeenStore:
         tokens = materialise(tokens, "tokens")
 
         # sets that share an identifier are one request; only identifiers of several sets link anything
-        shared = tokens.where("sets > 1").select("token", "low")
-        links = fragment_join(by_token, shared, ["token"], ["set"], "inner").where("set != low").select(F.col("set").alias("u"), F.col("low").alias("m"))
-        roots = components(links)
-        of_set = sets.select("a", "b", "set", "n").join(roots.select(F.col("u").alias("set"), "m"), "set", "left").withColumn("root", F.coalesce("m", "set")).drop("m")
+        shared = tokens.where("sets > 1").select(*TOKEN, "low")
+        linked = lookup_join(by_token, shared, TOKEN, ["set"], "inner", loads=tokens.withColumnRenamed("sets", "__load"))
+        roots = components(linked.where("set != low").select(F.col("set").alias("u"), F.col("low").alias("m")))
+        of_set = sets.join(roots.select(F.col("u").alias("set"), "m"), "set", "left").withColumn("root", F.coalesce("m", "set")).drop("m")
         if head["version"]:
-            token_sets = by_token.select("set", "token").join(tokens.where("kept is not null").select("token", "kept"), "token")
-            earlier = token_sets.join(of_set.select("set", "root"), "set").groupBy("root").agg(F.min("kept").alias("kept"))
+            hit = tokens.where("kept is not null").select(*TOKEN, "kept")
+            earlier = lookup_join(by_token, hit, TOKEN, ["set"], "inner", loads=tokens.withColumnRenamed("sets", "__load"))
+            earlier = earlier.join(of_set.select("set", "root"), "set").groupBy("root").agg(F.min("kept").alias("kept"))
             of_set = of_set.join(earlier, "root", "left").withColumn("kept", F.coalesce("kept", "root"))
         else:
             of_set = of_set.withColumn("kept", F.col("root"))
         of_set = materialise(of_set, "requests")
 
-        # lines whose set is a single line that is its own request need no join: they are the bulk, and are delivered
-        twice = of_set.where("n > 1 or kept != set").select("a", "b", "kept")
-        verdicts = fragment_join(ident, twice, ["a", "b"], ["line_id"], "left").select("line_id", F.coalesce("kept", "line_id").alias("kept_line_id"))
-        verdicts.write.parquet(f"{self.path}/{names['verdicts']}")
+        # one arrival per unseen request: sets of a single line that is its own request are the bulk and need no partner
+        twice = of_set.where("n > 1 or kept != set").select(*TOKEN, "kept")
+        verdicts = lookup_join(ident, twice, TOKEN, ["line_id"], "left", loads=of_set.withColumnRenamed("n", "__load"))
+        verdicts.select("line_id", F.coalesce("kept", "line_id").alias("kept_line_id")).write.parquet(f"{self.path}/{names['verdicts']}")
 
-        new = tokens.where("code is null").select("token", "shard", "low")
+        # dense codes for new identifiers after the shard's greatest, and their bits
+        new = tokens.where("code is null").select(*TOKEN, "shard", "low")
         tops = known.groupBy(F.col("shard").alias("t_shard")).agg(F.max("code").alias("top"))
-        dense = F.row_number().over(Window.partitionBy("shard").orderBy("token")).cast("bigint")
+        dense = F.row_number().over(Window.partitionBy("shard").orderBy(*TOKEN)).cast("bigint")
         coded = new.withColumn("k", dense).join(tops, F.col("shard") == F.col("t_shard"), "left").withColumn("code", F.coalesce(F.col("top"), F.lit(-1)) + F.col("k"))
         kept_of = of_set.select(F.col("set").alias("low"), "kept")
-        coded.join(kept_of, "low").select("token", "shard", "code", "kept").write.parquet(f"{self.path}/{names['dictionary']}")
-        codes = self._read([names["dictionary"]], DICTIONARY).select("shard", "code")
-        fresh = _bitmaps(codes)
+        coded.join(kept_of, "low").select(*DICTIONARY.names).write.parquet(f"{self.path}/{names['dictionary']}")
+        fresh = _bitmaps(self._read([names["dictionary"]], DICTIONARY).select("shard", "code"))
         merged = self.bitmaps().unionAll(fresh).groupBy("shard", "bucket").agg(F.bitmap_or_agg("bits").alias("bits")) if head["version"] else fresh
         merged.write.option("compression", "zstd").parquet(f"{self.path}/{names['bitmaps']}")
 

@@ -50,14 +50,17 @@ class LoadPlan:
         return out
 
 
-def plan_loads(df: DataFrame, keys: Sequence[str], tasks: int | None = None) -> LoadPlan:
+def plan_loads(df: DataFrame, keys: Sequence[str], tasks: int | None = None, loads: DataFrame | None = None) -> LoadPlan:
     """Count the load of each key of ``df`` and plan its fragments. Null is a key of its own; an empty ``df`` gives an empty plan.
 
-    One job: the counts are combined before the shuffle and only the ``SPLIT * tasks`` largest reach the driver.
+    One job: the counts are combined before the shuffle and only the ``SPLIT * tasks`` largest reach the driver. Who has the counts already
+    (keys and ``__load``, one row per key) passes them as ``loads``.
     """
     tasks = tasks or parallelism(df.sparkSession)
     seen = Observation()
-    loads = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__load")).observe(seen, F.sum("__load").alias("total"))
+    if loads is None:
+        loads = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__load"))
+    loads = loads.select(*keys, "__load").observe(seen, F.sum("__load").alias("total"))
     top = loads.orderBy(F.desc("__load")).limit(SPLIT * tasks).collect()
     total = (seen.get["total"] or 0) if top else 0
     fair = total / tasks
@@ -112,13 +115,13 @@ def place(df: DataFrame, plan: LoadPlan, spread: Sequence[str]) -> DataFrame:
     return with_fragment(df, plan, spread).repartitionById(plan.tasks, F.col(_TASK))
 
 
-def fragment_join(left: DataFrame, right: DataFrame, on: Sequence[str], spread: Sequence[str], how: str = "left", tasks: int | None = None) -> DataFrame:
+def fragment_join(left: DataFrame, right: DataFrame, on: Sequence[str], spread: Sequence[str], how: str = "left", tasks: int | None = None, loads: DataFrame | None = None) -> DataFrame:
     """Join on null-safe equal keys ``on``; a heavy key's left rows are spread over its shards, its right rows copied there.
 
     ``how`` is inner, left, left_semi or left_anti. Other clashing column names must be renamed before. Result columns: those of left, then right's
     without ``on``.
     """
-    plan = plan_loads(left, on, tasks)
+    plan = plan_loads(left, on, tasks, loads)
     other = right.select([F.col(c).alias("__r_" + c) if c in on else F.col(c) for c in right.columns])
     a = with_fragment(left, plan, spread).drop(_TASK)
     if plan.heavy:
@@ -135,14 +138,14 @@ def fragment_join(left: DataFrame, right: DataFrame, on: Sequence[str], spread:
     return a.join(other, cond, how).drop(_SHARD, "__copy", *["__r_" + k for k in on])
 
 
-def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], spread: Sequence[str], how: str = "left", broadcast_rows: int | None = None) -> DataFrame:
+def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], spread: Sequence[str], how: str = "left", broadcast_rows: int | None = None, loads: DataFrame | None = None) -> DataFrame:
     """``fragment_join`` whose right side is broadcast if it was counted to have at most ``broadcast_rows`` rows.
 
     ``right`` is counted up to the bound only; pass it materialised if it is costly to compute.
     """
     bound = BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
     if right.limit(bound + 1).count() > bound:
-        return fragment_join(left, right, on, spread, how)
+        return fragment_join(left, right, on, spread, how, loads=loads)
     other = right.select([F.col(c).alias("__r_" + c) if c in on else F.col(c) for c in right.columns])
     cond = F.lit(True)
     for k in on:

@@ -59,7 +59,7 @@ def p1_seen_bits(spark: SparkSession, folder: str) -> DataFrame:
     """Bits set in the bitmaps after the whole table was admitted ('all'), and the dictionary's identifiers by kind."""
     store = SeenStore(spark, scratch_path(spark, "seen"))
     store.admit(table(spark, folder, "client_acks"), "all")
-    kinds = store.dictionary().groupBy(F.when(F.col("token.rid").isNotNull(), "request").otherwise("record").alias("kind")).agg(F.count(F.lit(1)).alias("n_bits"))
+    kinds = store.dictionary().groupBy(F.when(F.col("rid").isNotNull(), "request").otherwise("record").alias("kind")).agg(F.count(F.lit(1)).alias("n_bits"))
     return kinds.unionAll(store.bitmaps().agg(F.lit("all").alias("kind"), F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0)).alias("n_bits")))
 
 
