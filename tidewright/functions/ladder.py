@@ -14,7 +14,8 @@ _WIDE = "decimal(38,0)"
 
 
 def _permille(staged: Column, capacity: Column) -> Column:
-    return F.floor(staged.cast(_WIDE) * 1000 / capacity.cast(_WIDE)).cast("decimal(20,0)")
+    # integral division: a quotient of decimals would be rounded first
+    return F.call_function("div", (staged.cast("decimal(20,0)") * 1000).cast(_WIDE), capacity.cast(_WIDE)).cast("decimal(20,0)")
 
 
 def rung(staged: Column, capacity: Column, drain_stalled: Column) -> Column:

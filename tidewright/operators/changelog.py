@@ -51,22 +51,22 @@ def asof_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_time: s
     ok = F.col(right_time).isNotNull()
     for k in on:
         ok = ok & F.col(k).isNotNull()
-    r = right.where(ok).select(*on, bucket(right_time).alias("__b"), tick(right_time).alias("__t"), F.struct(*tie, F.lit(0)).alias("__tie"), F.struct(*columns).alias("__r"))
-    l = left.withColumn("__b", bucket(left_time)).withColumn("__t", tick(left_time))
-    ends = r.groupBy(*on, "__b").agg(F.max_by("__r", F.struct("__t", "__tie")).alias("__last"))
-    wanted = l.select(*on, "__b").distinct().withColumn("__want", F.lit(True))
-    before = Window.partitionBy(*on).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.join(wanted, [*on, "__b"], "full").withColumn("__r", F.last("__last", ignorenulls=True).over(before)).where("__want and __r is not null")
+    r = right.where(ok).select(*on, bucket(right_time).alias("__tw_b"), tick(right_time).alias("__tw_t"), F.struct(*tie, F.lit(0)).alias("__tw_tie"), F.struct(*columns).alias("__tw_r"))
+    l = left.withColumn("__tw_b", bucket(left_time)).withColumn("__tw_t", tick(left_time))
+    ends = r.groupBy(*on, "__tw_b").agg(F.max_by("__tw_r", F.struct("__tw_t", "__tw_tie")).alias("__tw_last"))
+    wanted = l.select(*on, "__tw_b").distinct().withColumn("__tw_want", F.lit(True))
+    before = Window.partitionBy(*on).orderBy("__tw_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.join(wanted, [*on, "__tw_b"], "full").withColumn("__tw_r", F.last("__tw_last", ignorenulls=True).over(before)).where("__tw_want and __tw_r is not null")
     row = F.struct(*left.columns)
-    none, no_row = F.lit(None).cast(r.schema["__r"].dataType), F.lit(None).cast(left.select(row.alias("x")).schema["x"].dataType)
-    no_tie = F.lit(None).cast(r.schema["__tie"].dataType)
-    both = r.select(*on, "__b", "__t", F.lit(1).alias("__side"), "__tie", "__r", no_row.alias("__l"))
-    both = both.unionAll(carried.select(*on, "__b", F.lit(None).cast("bigint").alias("__t"), F.lit(0).alias("__side"), no_tie.alias("__tie"), "__r", no_row.alias("__l")))
-    both = both.unionAll(l.select(*on, "__b", "__t", F.lit(2).alias("__side"), no_tie.alias("__tie"), none.alias("__r"), row.alias("__l")))
-    w = Window.partitionBy(*on, "__b").orderBy(F.col("__t").asc_nulls_first(), "__side", "__tie").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("__hit", F.last("__r", ignorenulls=True).over(w)).where("__l is not null")
-    timed = F.col("__t").isNotNull()
-    return found.select("__l.*", *[F.when(timed, F.col(f"__hit.{c}")).alias(c) for c in columns])
+    none, no_row = F.lit(None).cast(r.schema["__tw_r"].dataType), F.lit(None).cast(left.select(row.alias("x")).schema["x"].dataType)
+    no_tie = F.lit(None).cast(r.schema["__tw_tie"].dataType)
+    both = r.select(*on, "__tw_b", "__tw_t", F.lit(1).alias("__tw_side"), "__tw_tie", "__tw_r", no_row.alias("__tw_l"))
+    both = both.unionAll(carried.select(*on, "__tw_b", F.lit(None).cast("bigint").alias("__tw_t"), F.lit(0).alias("__tw_side"), no_tie.alias("__tw_tie"), "__tw_r", no_row.alias("__tw_l")))
+    both = both.unionAll(l.select(*on, "__tw_b", "__tw_t", F.lit(2).alias("__tw_side"), no_tie.alias("__tw_tie"), none.alias("__tw_r"), row.alias("__tw_l")))
+    w = Window.partitionBy(*on, "__tw_b").orderBy(F.col("__tw_t").asc_nulls_first(), "__tw_side", "__tw_tie").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("__tw_hit", F.last("__tw_r", ignorenulls=True).over(w)).where("__tw_l is not null")
+    timed = F.col("__tw_t").isNotNull()
+    return found.select("__tw_l.*", *[F.when(timed, F.col(f"__tw_hit.{c}")).alias(c) for c in columns])
 
 
 def enrich_latest(events: DataFrame, dimension: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:

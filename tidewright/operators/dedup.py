@@ -13,7 +13,7 @@ def _one(df: DataFrame, keys: Sequence[str], order: Sequence[str], newest: bool)
     rest = [c for c in df.columns if c not in keys]
     pick = F.max_by if newest else F.min_by
     row = pick(F.struct(*[F.col(c) for c in rest]), F.struct(*[F.col(c) for c in order]))
-    return df.groupBy(*keys).agg(row.alias("__row")).select(*[F.col(c) if c in keys else F.col(f"__row.{c}").alias(c) for c in df.columns])
+    return df.groupBy(*keys).agg(row.alias("__tw_row")).select(*[F.col(c) if c in keys else F.col(f"__tw_row.{c}").alias(c) for c in df.columns])
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ("origin", "seq")) -> DataFrame:
@@ -53,7 +53,7 @@ def evict_beyond(ledger: DataFrame, cap: int) -> DataFrame:
     from pyspark.sql import Window
 
     order = Window.partitionBy("tenant").orderBy(F.desc("created_ms"), F.desc("dedup_key"))
-    return ledger.withColumn("__rn", F.row_number().over(order)).where(F.col("__rn") <= cap).drop("__rn")
+    return ledger.withColumn("__tw_rn", F.row_number().over(order)).where(F.col("__tw_rn") <= cap).drop("__tw_rn")
 
 
 def event_bounds(ts: Column) -> list[Column]:

@@ -37,8 +37,8 @@ def beyond_marks(source: DataFrame, marks: DataFrame, stream: Sequence[str] = ("
     A stream without mark is taken whole. Null stream fields match null ones; a null seq is beyond no mark. All columns of ``source`` are kept. Marks are broadcast if counted to be
     few, else a hot stream's rows are spread over shards and its one mark is copied there.
     """
-    held = marks.select(*stream, F.col(mark).alias("__mark"))
-    return lookup_join(source, held, list(stream), [seq], "left").where(F.col("__mark").isNull() | (F.col(seq) > F.col("__mark"))).drop("__mark")
+    held = marks.select(*stream, F.col(mark).alias("__tw_mark"))
+    return lookup_join(source, held, list(stream), [seq], "left").where(F.col("__tw_mark").isNull() | (F.col(seq) > F.col("__tw_mark"))).drop("__tw_mark")
 
 
 class IncrementalTarget:
@@ -67,25 +67,25 @@ class IncrementalTarget:
         if self.version is None:
             return self.rows()
         rest = [c for c in self.schema.names if c not in self.keys]
-        newest = self.rows().groupBy(*self.keys).agg(F.max(F.struct(self.version, *[c for c in rest if c != self.version])).alias("__row"))
-        return newest.select(*[F.col(c) if c in self.keys else F.col(f"__row.{c}").alias(c) for c in self.schema.names])
+        newest = self.rows().groupBy(*self.keys).agg(F.max(F.struct(self.version, *[c for c in rest if c != self.version])).alias("__tw_row"))
+        return newest.select(*[F.col(c) if c in self.keys else F.col(f"__tw_row.{c}").alias(c) for c in self.schema.names])
 
     def pending(self, source: DataFrame, head: dict | None = None) -> DataFrame:
         """The source records to take now. Copies of one record (same key and version) come out once, the newest version of each.
 
         Keys are compared null-safely; the anti-join is on the whole key, so no stream is hot in it.
         """
-        held = self.rows(head).groupBy(*[F.col(k).alias("__t_" + k) for k in self.keys]).agg((F.max(self.version) if self.version else F.lit(0)).alias("__held"))
+        held = self.rows(head).groupBy(*[F.col(k).alias("__tw_t_" + k) for k in self.keys]).agg((F.max(self.version) if self.version else F.lit(0)).alias("__tw_held"))
         cond = F.lit(True)
         for k in self.keys:
-            cond = cond & source[k].eqNullSafe(held["__t_" + k])
+            cond = cond & source[k].eqNullSafe(held["__tw_t_" + k])
         if self.version:
-            cond = cond & (F.coalesce(source[self.version], F.lit(-(2**63))) <= F.coalesce(held["__held"], F.lit(-(2**63))))
+            cond = cond & (F.coalesce(source[self.version], F.lit(-(2**63))) <= F.coalesce(held["__tw_held"], F.lit(-(2**63))))
         new = source.join(held, cond, "left_anti")
         rest = [c for c in source.columns if c not in self.keys]
         lead = [self.version] if self.version else []
-        one = new.groupBy(*self.keys).agg(F.max(F.struct(*lead, *[c for c in rest if c not in lead])).alias("__row"))
-        return one.select(*[F.col(c) if c in self.keys else F.col(f"__row.{c}").alias(c) for c in source.columns])
+        one = new.groupBy(*self.keys).agg(F.max(F.struct(*lead, *[c for c in rest if c not in lead])).alias("__tw_row"))
+        return one.select(*[F.col(c) if c in self.keys else F.col(f"__tw_row.{c}").alias(c) for c in source.columns])
 
     def run(self, source: DataFrame, transform: Callable[[DataFrame], DataFrame] = lambda df: df) -> dict:
         """One run: pending records through ``transform`` (row-wise; keeps keys and version) into the next target version."""

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidewright.operators.prefix import axis_bits, prefix_sums
 from tidewright.session import cut
 
-_ENTITY = "__entity"
+_ENTITY = "__tw_entity"
 
 
 def _ranked(df: DataFrame, pos: str, bits: int, start: str, end: str) -> DataFrame:

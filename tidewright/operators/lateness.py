@@ -53,12 +53,12 @@ def classify(records: DataFrame, watermarks: DataFrame, ts: Column, observed: Co
     """
     rows = records.withColumns({"ts_ms": epoch_ms(ts), "observed_ms": epoch_ms(observed)})
     rows = rows.withColumn("period", F.floor(F.col("ts_ms") / period_ms))
-    wanted = rows.select("partition", "period").distinct()
-    cells = materialise(release_steps(watermarks, wanted, period_ms), "steps").withColumnsRenamed({"steps": "__steps", "after_ms": "__after"})
+    wanted = rows.where("period is not null").select("partition", "period").distinct()
+    cells = materialise(release_steps(watermarks, wanted, period_ms), "steps").withColumnsRenamed({"steps": "__tw_steps", "after_ms": "__tw_after"})
     joined = lookup_join(rows, cells, ["partition", "period"], ["ts_ms", "observed_ms"], "left")
-    reached = F.filter("__steps", lambda s: s["through"] >= F.col("ts_ms"))
-    release = F.least(F.array_min(F.transform(reached, lambda s: s["at"])), F.col("__after"))
-    out = joined.withColumn("release_ms", release).drop("__steps", "__after")
+    reached = F.filter("__tw_steps", lambda s: s["through"] >= F.col("ts_ms"))
+    release = F.least(F.array_min(F.transform(reached, lambda s: s["at"])), F.col("__tw_after"))
+    out = joined.withColumn("release_ms", release).drop("__tw_steps", "__tw_after")
     fate = F.when(F.col("release_ms") <= F.col("observed_ms"), REJECTED).when(F.col("release_ms").isNotNull(), FINAL).otherwise(PROVISIONAL)
     return out.withColumn("fate", fate)
 

@@ -21,7 +21,7 @@ def _newest(value: Column, order: Column, where: Column | None = None) -> Column
 
 def _chunk(fan_in: int) -> Column:
     """The range of neighbouring chunks that the row's chunk (the split that its task reads) belongs to."""
-    return F.floor(F.spark_partition_id() / fan_in).alias("__chunk")
+    return F.floor(F.spark_partition_id() / fan_in).alias("__tw_chunk")
 
 
 def compose_patches(changes: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], deleted: Column, *, base: DataFrame | None = None, partial: bool = False, fan_in: int = 16) -> DataFrame:
@@ -35,28 +35,28 @@ def compose_patches(changes: DataFrame, keys: Sequence[str], order: Sequence[str
     key that occurs in every chunk is still reduced by many tasks.
     """
     o = F.struct(*[F.col(c) for c in order])
-    feed = changes.select(*keys, *order, *values, F.coalesce(deleted, F.lit(False)).alias("__del"), _chunk(fan_in), F.lit(1).alias("__age"))
+    feed = changes.select(*keys, *order, *values, F.coalesce(deleted, F.lit(False)).alias("__tw_del"), _chunk(fan_in), F.lit(1).alias("__tw_age"))
     if base is not None:
         types = {f.name: f.dataType for f in feed.schema}
-        old = base.select(*keys, *[F.lit(None).cast(types[c]).alias(c) for c in order], *values, F.lit(False).alias("__del"), _chunk(fan_in), F.lit(0).alias("__age"))
+        old = base.select(*keys, *[F.lit(None).cast(types[c]).alias(c) for c in order], *values, F.lit(False).alias("__tw_del"), _chunk(fan_in), F.lit(0).alias("__tw_age"))
         feed = feed.unionAll(old.select(*feed.columns))
-    feed = feed.withColumn("__o", F.struct("__age", o.alias("o")))
-    patch = [F.max(F.when(F.col("__del"), F.col("__o"))).alias("__d"), F.max(F.when(~F.col("__del"), F.col("__o"))).alias("__s")]
+    feed = feed.withColumn("__tw_o", F.struct("__tw_age", o.alias("o")))
+    patch = [F.max(F.when(F.col("__tw_del"), F.col("__tw_o"))).alias("__tw_d"), F.max(F.when(~F.col("__tw_del"), F.col("__tw_o"))).alias("__tw_s")]
     if partial:
         for c in values:
-            live = ~F.col("__del") & F.col(c).isNotNull()
-            patch += [F.max(F.when(live, F.struct(F.col("__o").alias("o"), F.col(c).alias("v")))).alias("__v_" + c)]
+            live = ~F.col("__tw_del") & F.col(c).isNotNull()
+            patch += [F.max(F.when(live, F.struct(F.col("__tw_o").alias("o"), F.col(c).alias("v")))).alias("__tw_v_" + c)]
     else:
-        patch += [_newest(F.struct(*values), F.col("__o"), ~F.col("__del")).alias("__v")]
-    merge = [F.max("__d").alias("__d"), F.max("__s").alias("__s2")]
-    merge += [F.max("__v_" + c).alias("__v_" + c) for c in values] if partial else [F.max_by("__v", "__s").alias("__v")]
-    chunks = feed.groupBy(*keys, "__chunk").agg(*patch)
-    state = chunks.groupBy(*keys).agg(*merge).where(F.col("__s2").isNotNull() & (F.col("__d").isNull() | (F.col("__s2") > F.col("__d"))))
+        patch += [_newest(F.struct(*values), F.col("__tw_o"), ~F.col("__tw_del")).alias("__tw_v")]
+    merge = [F.max("__tw_d").alias("__tw_d"), F.max("__tw_s").alias("__tw_s2")]
+    merge += [F.max("__tw_v_" + c).alias("__tw_v_" + c) for c in values] if partial else [F.max_by("__tw_v", "__tw_s").alias("__tw_v")]
+    chunks = feed.groupBy(*keys, "__tw_chunk").agg(*patch)
+    state = chunks.groupBy(*keys).agg(*merge).where(F.col("__tw_s2").isNotNull() & (F.col("__tw_d").isNull() | (F.col("__tw_s2") > F.col("__tw_d"))))
     if partial:
-        kept = [F.when(F.col("__d").isNull() | (F.col(f"__v_{c}.o") > F.col("__d")), F.col(f"__v_{c}.v")).alias(c) for c in values]
+        kept = [F.when(F.col("__tw_d").isNull() | (F.col(f"__tw_v_{c}.o") > F.col("__tw_d")), F.col(f"__tw_v_{c}.v")).alias(c) for c in values]
     else:
-        kept = [F.col(f"__v.{c}").alias(c) for c in values]
-    return state.select(*keys, *[F.col(f"__s2.o.{c}").alias(c) for c in order], *kept)
+        kept = [F.col(f"__tw_v.{c}").alias(c) for c in values]
+    return state.select(*keys, *[F.col(f"__tw_s2.o.{c}").alias(c) for c in order], *kept)
 
 
 def changelog_state(changelog: DataFrame) -> DataFrame:

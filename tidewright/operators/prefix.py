@@ -23,17 +23,19 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], pos: str, value: str, out: s
     if bits <= DIGIT:
         before = Window.partitionBy(*keys).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumn(out, F.coalesce(F.sum(value).over(before), F.lit(0)))
-    rows = df.withColumn("__block", F.shiftright(F.col(pos), DIGIT))
-    blocks = rows.groupBy(*keys, "__block").agg(F.sum(value).alias("__sum"))
-    offsets = prefix_sums(blocks, keys, "__block", "__sum", "__before", bits - DIGIT)
-    offsets = offsets.select(*[F.col(k).alias("__o_" + k) for k in keys], F.col("__block").alias("__o_block"), "__before")
-    inside = Window.partitionBy(*keys, "__block").orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
-    local = rows.withColumn("__local", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    cond = local["__block"] == offsets["__o_block"]
+    # names by level: the blocks of one level are the positions of the next
+    block, total, before = f"__tw_block{bits}", f"__tw_sum{bits}", f"__tw_before{bits}"
+    rows = df.withColumn(block, F.shiftright(F.col(pos), DIGIT))
+    blocks = rows.groupBy(*keys, block).agg(F.sum(value).alias(total))
+    offsets = prefix_sums(blocks, keys, block, total, before, bits - DIGIT)
+    offsets = offsets.select(*[F.col(k).alias("__tw_o_" + k) for k in keys], F.col(block).alias("__tw_o_block"), before)
+    inside = Window.partitionBy(*keys, block).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
+    local = rows.withColumn("__tw_local", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    cond = local[block] == offsets["__tw_o_block"]
     for k in keys:
-        cond = cond & (local[k] == offsets["__o_" + k])
+        cond = cond & (local[k] == offsets["__tw_o_" + k])
     joined = local.join(offsets, cond)
-    return joined.withColumn(out, F.col("__local") + F.col("__before")).select(*df.columns, out)
+    return joined.withColumn(out, F.col("__tw_local") + F.col(before)).select(*df.columns, out)
 
 
 def axis_bits(df: DataFrame, pos: str) -> int:

@@ -134,12 +134,12 @@ class SeenStore:
 
         # sets that share an identifier are one request; only identifiers of several sets link anything
         shared = tokens.where("sets > 1").select(*TOKEN, "low")
-        linked = lookup_join(by_token, shared, TOKEN, ["set"], "inner", loads=tokens.withColumnRenamed("sets", "__load"))
+        linked = lookup_join(by_token, shared, TOKEN, ["set"], "inner", loads=tokens.withColumnRenamed("sets", "__tw_load"))
         roots = components(linked.where("set != low").select(F.col("set").alias("u"), F.col("low").alias("m")))
         of_set = sets.join(roots.select(F.col("u").alias("set"), "m"), "set", "left").withColumn("root", F.coalesce("m", "set")).drop("m")
         if head["version"]:
             hit = tokens.where("kept is not null").select(*TOKEN, "kept")
-            earlier = lookup_join(by_token, hit, TOKEN, ["set"], "inner", loads=tokens.withColumnRenamed("sets", "__load"))
+            earlier = lookup_join(by_token, hit, TOKEN, ["set"], "inner", loads=tokens.withColumnRenamed("sets", "__tw_load"))
             earlier = earlier.join(of_set.select("set", "root"), "set").groupBy("root").agg(F.min("kept").alias("kept"))
             of_set = of_set.join(earlier, "root", "left").withColumn("kept", F.coalesce("kept", "root"))
         else:
@@ -148,7 +148,7 @@ class SeenStore:
 
         # one arrival per unseen request: sets of a single line that is its own request are the bulk and need no partner
         twice = of_set.where("n > 1 or kept != set").select(*TOKEN, "kept")
-        verdicts = lookup_join(ident, twice, TOKEN, ["line_id"], "left", loads=of_set.withColumnRenamed("n", "__load"))
+        verdicts = lookup_join(ident, twice, TOKEN, ["line_id"], "left", loads=of_set.withColumnRenamed("n", "__tw_load"))
         verdicts.select("line_id", F.coalesce("kept", "line_id").alias("kept_line_id")).write.parquet(f"{self.path}/{names['verdicts']}")
 
         # dense codes for new identifiers after the shard's greatest, and their bits

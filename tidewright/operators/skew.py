@@ -24,7 +24,7 @@ SPLIT = 4
 #: A matching side of at most so many rows is broadcast; a larger one is fragment-replicated. It is counted first.
 BROADCAST_ROWS = 200_000
 
-_SHARD, _TASK, _SHARDS = "__shard", "__task", "__shards"
+_SHARD, _TASK, _SHARDS = "__tw_shard", "__tw_task", "__tw_shards"
 
 
 @dataclass(frozen=True)
@@ -54,17 +54,17 @@ def plan_loads(df: DataFrame, keys: Sequence[str], tasks: int | None = None, loa
     """Count the load of each key of ``df`` and plan its fragments. Null is a key of its own; an empty ``df`` gives an empty plan.
 
     One job: the counts are combined before the shuffle and only the ``SPLIT * tasks`` largest reach the driver. Who has the counts already
-    (keys and ``__load``, one row per key) passes them as ``loads``.
+    (keys and ``__tw_load``, one row per key) passes them as ``loads``.
     """
     tasks = tasks or parallelism(df.sparkSession)
     seen = Observation()
     if loads is None:
-        loads = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__load"))
-    loads = loads.select(*keys, "__load").observe(seen, F.sum("__load").alias("total"))
-    top = loads.orderBy(F.desc("__load")).limit(SPLIT * tasks).collect()
+        loads = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__tw_load"))
+    loads = loads.select(*keys, "__tw_load").observe(seen, F.sum("__tw_load").alias("total"))
+    top = loads.orderBy(F.desc("__tw_load")).limit(SPLIT * tasks).collect()
     total = (seen.get["total"] or 0) if top else 0
     fair = total / tasks
-    heavy = [(tuple(row[k] for k in keys), row["__load"]) for row in top if row["__load"] * SPLIT > fair and row["__load"] > 1]
+    heavy = [(tuple(row[k] for k in keys), row["__tw_load"]) for row in top if row["__tw_load"] * SPLIT > fair and row["__tw_load"] > 1]
     n_bins = SPLIT * tasks
     light = (total - sum(load for _, load in heavy)) / n_bins
     pieces = [(light, "bin", i) for i in range(n_bins)]
@@ -83,14 +83,14 @@ def plan_loads(df: DataFrame, keys: Sequence[str], tasks: int | None = None, loa
     return LoadPlan(tuple(keys), tasks, total, [(key, load, where) for (key, load), where in zip(heavy, at)], bins)
 
 
-def _heavy_table(df: DataFrame, plan: LoadPlan, prefix: str = "__h_") -> DataFrame:
+def _heavy_table(df: DataFrame, plan: LoadPlan, prefix: str = "__tw_h_") -> DataFrame:
     """Key columns, shard count and tasks of the heavy keys: at most ``SPLIT * tasks`` rows."""
     fields = [T.StructField(prefix + k, df.schema[k].dataType) for k in plan.keys]
-    fields += [T.StructField(_SHARDS, T.IntegerType()), T.StructField("__tasks", T.ArrayType(T.IntegerType()))]
+    fields += [T.StructField(_SHARDS, T.IntegerType()), T.StructField("__tw_tasks", T.ArrayType(T.IntegerType()))]
     return df.sparkSession.createDataFrame([(*key, len(at), at) for key, _, at in plan.heavy], T.StructType(fields))
 
 
-def _same(df: DataFrame, other: DataFrame, keys: Sequence[str], prefix: str = "__h_") -> Column:
+def _same(df: DataFrame, other: DataFrame, keys: Sequence[str], prefix: str = "__tw_h_") -> Column:
     cond = F.lit(True)
     for k in keys:
         cond = cond & df[k].eqNullSafe(other[prefix + k])
@@ -98,7 +98,7 @@ def _same(df: DataFrame, other: DataFrame, keys: Sequence[str], prefix: str = "_
 
 
 def with_fragment(df: DataFrame, plan: LoadPlan, spread: Sequence[str]) -> DataFrame:
-    """``df`` with ``__shard`` (of the row's key) and ``__task``. ``spread``: columns whose hash picks a heavy key's shard."""
+    """``df`` with ``__tw_shard`` (of the row's key) and ``__tw_task``. ``spread``: columns whose hash picks a heavy key's shard."""
     light = F.pmod(F.xxhash64(*plan.keys), F.lit(len(plan.bins))).cast("int")
     bins = F.element_at(F.array(*[F.lit(t) for t in plan.bins]), light + 1)
     if not plan.heavy:
@@ -106,7 +106,7 @@ def with_fragment(df: DataFrame, plan: LoadPlan, spread: Sequence[str]) -> DataF
     heavy = _heavy_table(df, plan)
     out = df.join(F.broadcast(heavy), _same(df, heavy, plan.keys), "left")
     shard = F.coalesce(F.pmod(F.xxhash64(F.lit(7), *spread), F.col(_SHARDS)).cast("int"), F.lit(0))
-    out = out.withColumn(_SHARD, shard).withColumn(_TASK, F.coalesce(F.element_at("__tasks", F.col(_SHARD) + 1), bins))
+    out = out.withColumn(_SHARD, shard).withColumn(_TASK, F.coalesce(F.element_at("__tw_tasks", F.col(_SHARD) + 1), bins))
     return out.drop(*heavy.columns)
 
 
@@ -122,20 +122,20 @@ def fragment_join(left: DataFrame, right: DataFrame, on: Sequence[str], spread:
     without ``on``.
     """
     plan = plan_loads(left, on, tasks, loads)
-    other = right.select([F.col(c).alias("__r_" + c) if c in on else F.col(c) for c in right.columns])
+    other = right.select([F.col(c).alias("__tw_r_" + c) if c in on else F.col(c) for c in right.columns])
     a = with_fragment(left, plan, spread).drop(_TASK)
     if plan.heavy:
         heavy = _heavy_table(left, plan)
         cond = F.lit(True)
         for k in on:
-            cond = cond & other["__r_" + k].eqNullSafe(heavy["__h_" + k])
-        other = other.join(F.broadcast(heavy), cond, "left").withColumn("__copy", F.explode(F.sequence(F.lit(0), F.coalesce(F.col(_SHARDS), F.lit(1)) - 1))).drop(*heavy.columns)
+            cond = cond & other["__tw_r_" + k].eqNullSafe(heavy["__tw_h_" + k])
+        other = other.join(F.broadcast(heavy), cond, "left").withColumn("__tw_copy", F.explode(F.sequence(F.lit(0), F.coalesce(F.col(_SHARDS), F.lit(1)) - 1))).drop(*heavy.columns)
     else:
-        other = other.withColumn("__copy", F.lit(0))
-    cond = a[_SHARD] == other["__copy"]
+        other = other.withColumn("__tw_copy", F.lit(0))
+    cond = a[_SHARD] == other["__tw_copy"]
     for k in on:
-        cond = cond & a[k].eqNullSafe(other["__r_" + k])
-    return a.join(other, cond, how).drop(_SHARD, "__copy", *["__r_" + k for k in on])
+        cond = cond & a[k].eqNullSafe(other["__tw_r_" + k])
+    return a.join(other, cond, how).drop(_SHARD, "__tw_copy", *["__tw_r_" + k for k in on])
 
 
 def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], spread: Sequence[str], how: str = "left", broadcast_rows: int | None = None, loads: DataFrame | None = None) -> DataFrame:
@@ -146,11 +146,11 @@ def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], spread: Se
     bound = BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
     if right.limit(bound + 1).count() > bound:
         return fragment_join(left, right, on, spread, how, loads=loads)
-    other = right.select([F.col(c).alias("__r_" + c) if c in on else F.col(c) for c in right.columns])
+    other = right.select([F.col(c).alias("__tw_r_" + c) if c in on else F.col(c) for c in right.columns])
     cond = F.lit(True)
     for k in on:
-        cond = cond & left[k].eqNullSafe(other["__r_" + k])
-    return left.join(F.broadcast(other), cond, how).drop(*["__r_" + k for k in on])
+        cond = cond & left[k].eqNullSafe(other["__tw_r_" + k])
+    return left.join(F.broadcast(other), cond, how).drop(*["__tw_r_" + k for k in on])
 
 
 #: Partial and merging form of each aggregate that per_key() offers.
@@ -184,9 +184,9 @@ def heavy_keys(tables: dict[str, DataFrame], fields: Sequence[str], share: float
     for name, df in tables.items():
         pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("key_value")) for f in fields])
         # what spreads a heavy key need not be unique, only varied; it must not change when a task is run again
-        part = df.select(F.lit(name).alias("table_name"), F.inline(pairs), F.col(_spreading(df, fields)).cast("string").alias("__spread"))
+        part = df.select(F.lit(name).alias("table_name"), F.inline(pairs), F.col(_spreading(df, fields)).cast("string").alias("__tw_spread"))
         rows = part if rows is None else rows.unionAll(part)
-    counts = per_key(rows, ["table_name", "field", "key_value"], {"n_rows": ("rows", None)}, ["__spread"])
+    counts = per_key(rows, ["table_name", "field", "key_value"], {"n_rows": ("rows", None)}, ["__tw_spread"])
     counts = materialise(counts, "per-key")
     totals = counts.groupBy(F.col("table_name").alias("t"), F.col("field").alias("f")).agg(F.sum("n_rows").alias("of_rows"))
     # one row for each table and field

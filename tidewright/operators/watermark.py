@@ -24,8 +24,8 @@ def dense_windows(manifests: DataFrame) -> DataFrame:
     """Manifests of the dense prefix 0, 1, 2, ... of each partition's windows."""
     # ids are distinct per partition in a valid log; supplements share their window's id and follow it
     order = Window.partitionBy("partition").orderBy("window_id")
-    ranked = manifests.withColumn("__k", F.dense_rank().over(order) - 1)
-    return ranked.where("window_id = __k").drop("__k")
+    ranked = manifests.withColumn("__tw_k", F.dense_rank().over(order) - 1)
+    return ranked.where("window_id = __tw_k").drop("__tw_k")
 
 
 def advance(manifests: DataFrame, losses: DataFrame | None = None) -> DataFrame:

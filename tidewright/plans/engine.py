@@ -27,10 +27,10 @@ def tier_union(cold: DataFrame, hot: DataFrame, watermarks: DataFrame, time_ms:
     ``watermarks`` has at most one row per partition; without a row nothing of the partition is committed yet. It should be materialised
     or literal, since both branches read it. Rows of neither side are looked at twice: the bound is joined by partition (Spark broadcasts it by its measured size).
     """
-    w = watermarks.select(F.col("partition").alias("__p"), F.col("complete_through_ms").alias("__bound"))
+    w = watermarks.select(F.col("partition").alias("__tw_p"), F.col("complete_through_ms").alias("__tw_bound"))
     columns = cold.columns
-    below = cold.join(w, F.col("partition") == F.col("__p")).where(time_ms <= F.col("__bound")).select(columns)
-    above = hot.join(w, F.col("partition") == F.col("__p"), "left").where(F.col("__bound").isNull() | (time_ms > F.col("__bound"))).select(columns)
+    below = cold.join(w, F.col("partition") == F.col("__tw_p")).where(time_ms <= F.col("__tw_bound")).select(columns)
+    above = hot.join(w, F.col("partition") == F.col("__tw_p"), "left").where(F.col("__tw_bound").isNull() | (time_ms > F.col("__tw_bound"))).select(columns)
     return below.unionAll(above)
 
 
