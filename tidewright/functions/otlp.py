@@ -26,7 +26,8 @@ _VALUE = "stringValue string, boolValue boolean, intValue string, doubleValue st
 
 def parse_request(json: Column) -> Column:
     """The request's structure; null where the text is no JSON object (a malformed request is refused as a whole)."""
-    return F.from_json(json, REQUEST, {"mode": "PERMISSIVE"})
+    whole = F.try_parse_json(json).isNotNull() & F.ltrim(json).startswith("{")
+    return F.when(whole, F.from_json(json, REQUEST, {"mode": "PERMISSIVE"}))
 
 
 def _quoted(c: Column) -> Column:

@@ -55,7 +55,9 @@ class Engine:
     """Datasets of a lake, and of landed rows, behind SQL."""
 
     def __init__(self, spark: SparkSession, lake: LakeLog, datasets: list[DatasetDecl], hot: dict[str, DataFrame] | None = None, guards: Guards | None = None, tenants: list[str] | None = None):
-        self.spark, self.lake, self.guards = spark, lake, guards or Guards()
+        # a session of its own: views of two engines (other pins, other tenants) must not replace each other
+        self.spark = spark.newSession()
+        self.lake, self.guards = LakeLog(self.spark, lake.path), guards or Guards()
         self.datasets = {d.name: d for d in datasets}
         self.hot, self.tenants = hot or {}, tenants
         self.version = 0

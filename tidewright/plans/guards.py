@@ -9,9 +9,11 @@ from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewright.functions.ladder import scaled_budget_value
+from tidewright.session import materialise
 from tidewright.types import ByteBudgetExceeded, DeadlineExceeded, NotASelect, Overloaded
 
 #: Names of plan nodes that do something besides reading.
@@ -70,8 +72,8 @@ class Guards:
     def fetch(self, df: DataFrame, staged: int = 0, capacity: int = 0) -> pa.Table:
         """The result as Arrow, or ByteBudgetExceeded or DeadlineExceeded.
 
-        Batches are counted as they arrive, partition by partition, so the driver never holds more than the budget and one
-        batch; the deadline interrupts the query's jobs.
+        The executors write it in packed batches with their sizes to the shared folder, in one interruptible job; only a result
+        whose sizes sum to no more than the budget is then brought to the driver.
         """
         spark, tag, late = df.sparkSession, f"guard-{uuid.uuid4().hex}", threading.Event()
         budget = self.budget(staged, capacity)
@@ -106,14 +108,13 @@ class Guards:
                     out.write_batch(batch)
                 yield pa.RecordBatch.from_pydict({"n": pa.array([batch.nbytes], pa.int64()), "ipc": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
-        total, tables = 0, []
-        for row in df.mapInArrow(packed, "n bigint, ipc binary").toLocalIterator():
-            total += row["n"]
-            if total > budget:
-                raise ByteBudgetExceeded(f"more than {budget} bytes")
-            if late.is_set():
-                raise DeadlineExceeded("interrupted")
-            tables.append(pa.ipc.open_stream(row["ipc"]).read_all())
+        kept = materialise(df.mapInArrow(packed, "n bigint, ipc binary"), "result")
+        total = kept.agg(F.sum("n")).first()[0] or 0
+        if late.is_set():
+            raise DeadlineExceeded("interrupted")
+        if total > budget:
+            raise ByteBudgetExceeded(f"{total} bytes, more than {budget}")
+        tables = [pa.ipc.open_stream(row["ipc"]).read_all() for row in kept.select("ipc").toLocalIterator()]
         return pa.concat_tables(tables) if tables else pa.Table.from_pandas(df.limit(0).toPandas())
 
 
