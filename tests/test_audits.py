@@ -115,3 +115,31 @@ def test_sources(spark, tmp_path):
     g = formats.generated_logs(spark, 5, "inc").orderBy("body").collect()
     assert g[3].body == "loadgen record 3" and g[3].attrs == '{"loadgen.index":"inc-3"}'
     assert formats.read_parquet(spark, spark.range(1).schema).count() == 0
+
+
+def test_blocking_and_vacuity(spark, tmp_path):
+    rows = [("n", "p", "served", 0, 0, 10)] * 20 + [("n", "p", "served", 1, 2, 31), ("n", "p", "served", 1, 2, 30), ("m", "p", "served", 1, 2, 900)]
+    r = spark.createDataFrame(rows, "serving_node string, partition string, outcome string, residency_ops_before bigint, residency_ops_after bigint, latency_ms bigint")
+    assert [(x.serving_node, x.latency_ms) for x in p.blocked_reads(r).collect()] == [("n", 31)]
+    j = run(tmp_path, spark)
+    faults = spark.createDataFrame([("kill", 5), ("cut", None)], "kind string, started_ms bigint")
+    got = {x.check: x.ok for x in p.vacuity(j, faults, ["kill"]).collect()}
+    assert got == {"fault_schedule": True, "contention": False, "continuity": True, "outcomes": True}
+    assert not {x.check: x.ok for x in p.vacuity(j, faults, ["kill", "cut"]).collect()}["fault_schedule"]
+    assert not {x.check: x.ok for x in p.vacuity(j.limit(0), faults, ["kill"]).collect()}["continuity"]
+
+
+def test_transforms_and_upkeep(spark):
+    from tidewright.operators.upkeep import expired_manifests
+    from tidewright.plans.transforms import checked, transformed
+    from tidewright.types import NotASelect
+
+    df = spark.createDataFrame([(1, "a")], "seq bigint, body string")
+    assert transformed(df, "SELECT seq, upper(body) AS body FROM {rows}").first().body == "A" and transformed(df, None) is df
+    for bad, error in (("SELECT 1", InvalidInput), ("INSERT INTO x SELECT * FROM {rows}", NotASelect)):
+        with pytest.raises(error):
+            transformed(df, bad)
+    with pytest.raises(InvalidInput):
+        checked(df, "SELECT body FROM {rows}", ["seq"])
+    with pytest.raises(ValueError):
+        expired_manifests(df, 0, {str(k): 1 for k in range(9)})

@@ -187,3 +187,39 @@ def journal_gaps(journal: DataFrame) -> DataFrame:
     """Nodes whose journal numbers aren't dense: node, missing, repeated."""
     per = journal.groupBy("node", "seq").count()
     return per.groupBy("node").agg((F.max("seq") - F.min("seq") + 1 - F.count("seq")).alias("missing"), F.count_if(F.col("count") > 1).alias("repeated"))
+
+
+def blocked_reads(reads: DataFrame, factor: float = 3.0, least: int = 20) -> DataFrame:
+    """Reads during cache operations that took more than ``factor`` times the upper median of undisturbed ones of their node.
+
+    A read is undisturbed if no residency operation ran during it. Nodes with fewer than ``least`` undisturbed reads can't be judged and have no row.
+    """
+    moved = F.col("residency_ops_after") > F.col("residency_ops_before")
+    served = reads.where("outcome = 'served' and latency_ms is not null")
+    base = served.where(~moved).groupBy("serving_node").agg(upper_median(F.col("latency_ms"), least).alias("median_ms"))
+    out = served.where(moved).join(base.where("median_ms is not null"), "serving_node")
+    return out.where(F.col("latency_ms") > F.col("median_ms") * factor).select("serving_node", "partition", "latency_ms", "median_ms")
+
+
+def vacuity(journal: DataFrame, faults: DataFrame, kinds: list[str], ambiguous_ceiling: float = 0.05) -> DataFrame:
+    """What a run must have gone through to prove anything: check, ok.
+
+    fault_schedule (every expected kind of fault started), contention (some partition is in two nodes' journals), continuity (journals are
+    dense), outcomes (requests reconcile, and few enough are ambiguous). ``faults`` is fault_windows().
+    """
+    started = faults.where("started_ms is not null").select("kind").distinct()
+    schedule = started.agg((F.count_if(F.col("kind").isin(kinds)) == len(set(kinds))).alias("ok"))
+    contention = contended_partitions(journal).agg((F.count(F.lit(1)) > 0).alias("ok"))
+    dense = journal_gaps(journal).agg(F.coalesce(F.bool_and((F.col("missing") == 0) & (F.col("repeated") == 0)), F.lit(False)).alias("ok"))
+    t = outcome_tallies(journal).agg(F.bool_and("reconciles").alias("r"), F.sum("ambiguous").alias("a"), F.sum("sent").alias("s"))
+    outcomes = t.select(F.coalesce(F.col("r") & (F.col("a") <= F.col("s") * ambiguous_ceiling), F.lit(False)).alias("ok"))
+    out = None
+    for name, df in (("fault_schedule", schedule), ("contention", contention), ("continuity", dense), ("outcomes", outcomes)):
+        row = df.select(F.lit(name).alias("check"), "ok")
+        out = row if out is None else out.unionAll(row)
+    return out
+
+
+def contended_partitions(journal: DataFrame) -> DataFrame:
+    """Partitions that several nodes' journals name: partition, nodes."""
+    return journal.where("partition is not null").groupBy("partition").agg(F.count_distinct("node").alias("nodes")).where("nodes > 1")

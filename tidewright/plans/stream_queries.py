@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import ids, ladder, naming, otlp
 from tidewright.operators import changelog as cl
-from tidewright.operators import dedup, ranges, replication, watermark
+from tidewright.operators import dedup, ranges, replication, upkeep, watermark
 from tidewright.plans import engine, predicates
 from tidewright.plans.registry import Registry, table
 from tidewright.session import materialise
@@ -532,6 +532,40 @@ def journal_gaps(spark, folder):
     return predicates.journal_gaps(table(spark, folder, "client_acks"))
 
 
+# upkeep
+
+_NOW = 1_770_163_200_000
+
+
+@R.add("staged_bytes", "SELECT partition, sum(strlen(partition) + strlen(origin) + 8 + coalesce(strlen(body), 0) + coalesce(strlen(severity_text), 0) + CASE WHEN observed_ts IS NULL THEN 0 ELSE 8 END)::BIGINT AS staged_bytes FROM otlp_logs GROUP BY partition")
+def staged_bytes(spark, folder):
+    """Content bytes staged per partition, over some of the columns."""
+    return upkeep.staged_bytes(_logs(spark, folder, "partition", "origin", "seq", "body", "severity_text", "observed_ts"), ["partition"])
+
+
+@R.add("retention_expired", "SELECT DISTINCT dataset, partition, window_id, part_kind FROM window_manifests WHERE NOT coalesce(expired, false) AND part_kind <> 'snapshot' AND event_time_max_ms + CASE WHEN starts_with(partition, '_') THEN 72 * 3600000 WHEN starts_with(partition, 'fjord') THEN 3600000 ELSE 30 * 86400000::BIGINT END < 1770163200000")
+def retention_expired(spark, folder):
+    """Windows past their retention, with an hour for some tenants."""
+    return upkeep.expired_manifests(table(spark, folder, "window_manifests"), _NOW, {"fjord": 3_600_000})
+
+
+@R.add(
+    "snapshots_due",
+    """WITH m AS (SELECT DISTINCT dataset, partition, window_id, part_kind, discriminator, rows FROM window_manifests WHERE NOT coalesce(expired, false)),
+s AS (SELECT dataset, partition, window_id AS w, rows AS r FROM m WHERE part_kind = 'snapshot' QUALIFY row_number() OVER (PARTITION BY dataset, partition ORDER BY window_id DESC, discriminator DESC, rows DESC) = 1)
+SELECT m.dataset, m.partition, coalesce(max(s.r), 0) AS snapshot_rows, sum(m.rows)::BIGINT AS later_rows FROM m LEFT JOIN s USING (dataset, partition) WHERE m.part_kind <> 'snapshot' AND (s.w IS NULL OR m.window_id > s.w) GROUP BY ALL HAVING later_rows > 0 AND later_rows >= snapshot_rows""",
+)
+def snapshots_due(spark, folder):
+    """Partitions whose changes since the last snapshot outweigh it."""
+    return upkeep.snapshots_due(table(spark, folder, "window_manifests"))
+
+
+@R.add("contended_partitions", "SELECT partition, count(DISTINCT node) AS nodes FROM client_acks WHERE partition IS NOT NULL GROUP BY partition HAVING count(DISTINCT node) > 1")
+def contended_partitions(spark, folder):
+    """Partitions that several nodes' journals name."""
+    return predicates.contended_partitions(table(spark, folder, "client_acks"))
+
+
 # the flagship: from records to the served union
 
 

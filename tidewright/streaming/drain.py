@@ -13,6 +13,7 @@ from tidewright.functions.naming import encode_component
 from tidewright.operators.dedup import event_bounds, keep_first, keep_latest
 from tidewright.operators.ranges import coverage_runs
 from tidewright.operators.watermark import advance
+from tidewright.plans.transforms import checked
 from tidewright.session import materialise
 from tidewright.sources.commitlog import COMMITTED, INDETERMINATE, LakeLog
 from tidewright.sources.formats import write_sorted_parts
@@ -44,7 +45,7 @@ def window_manifests(rows: DataFrame, d: DatasetDecl) -> DataFrame:
     return out.select(F.lit(d.name).alias("dataset"), *by, "origin_coverage", "rows", "event_time_min_ms", "event_time_max_ms", (F.col("total") - F.col("rows")).alias("dedup_removed"))
 
 
-def drain(spark: SparkSession, landing: Landing, lake: LakeLog, d: DatasetDecl, now_ms: int, lateness_ms: int = LATENESS_MS) -> list[tuple[str, int, str]]:
+def drain(spark: SparkSession, landing: Landing, lake: LakeLog, d: DatasetDecl, now_ms: int, lateness_ms: int = LATENESS_MS, transform: str | None = None) -> list[tuple[str, int, str]]:
     """Seal and commit every eligible window; (partition, window, outcome) of each. Windows that can't be committed stay landed.
 
     One job writes a window's parts, one entry of the log commits them with their watermarks. A lake window is numbered per
@@ -53,7 +54,7 @@ def drain(spark: SparkSession, landing: Landing, lake: LakeLog, d: DatasetDecl,
     done, drained = [], []
     for w in eligible(landing.closed_windows(now_ms), now_ms, lateness_ms):
         rows = landing.rows([w])
-        outcomes = [] if rows is None else _seal(spark, lake, d, materialise(rows, "window"), w)
+        outcomes = [] if rows is None else _seal(spark, lake, d, materialise(checked(rows, transform, ["partition", "window_id", "origin", "seq", d.time_col]), "window"), w)
         done += outcomes
         if all(o == COMMITTED for _, _, o in outcomes):
             drained.append(w)

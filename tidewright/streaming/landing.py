@@ -18,9 +18,11 @@ from tidewright.functions.ids import dedup_key
 from tidewright.functions.naming import partition_id, resolved_tenant, tenant_is_valid
 from tidewright.functions.otlp import flatten_logs, parse_request
 from tidewright.operators.dedup import evict_beyond, split_known
+from tidewright.operators.upkeep import staged_bytes
+from tidewright.plans.transforms import checked
 from tidewright.session import materialise
 from tidewright.sources.commitlog import LakeLog
-from tidewright.types import APPLIED, InvalidInput, PayloadTooLarge
+from tidewright.types import APPLIED, InvalidInput, Overloaded, PayloadTooLarge
 
 LEDGER = T.StructType([T.StructField("tenant", T.StringType()), T.StructField("dedup_key", T.StringType()), T.StructField("outcome", T.StringType()), T.StructField("created_ms", T.LongType())])
 #: Default limits: bytes of a request, time to live and rows per tenant of the ledger, length of a window.
@@ -30,9 +32,10 @@ MAX_PAYLOAD, TTL_MS, LEDGER_ROWS, WINDOW_MS = 4 * 2**20, 24 * 3_600_000, 100_000
 class Landing:
     """The staging area of one dataset on one node (``origin``)."""
 
-    def __init__(self, spark: SparkSession, path: str, origin: str, *, window_ms: int = WINDOW_MS, ttl_ms: int = TTL_MS, ledger_rows: int = LEDGER_ROWS, max_payload: int = MAX_PAYLOAD):
+    def __init__(self, spark: SparkSession, path: str, origin: str, *, window_ms: int = WINDOW_MS, ttl_ms: int = TTL_MS, ledger_rows: int = LEDGER_ROWS, max_payload: int = MAX_PAYLOAD, capacity: int | None = None, transform: str | None = None):
         self.spark, self.path, self.origin = spark, path.rstrip("/"), origin
         self.window_ms, self.ttl_ms, self.ledger_rows, self.max_payload = window_ms, ttl_ms, ledger_rows, max_payload
+        self.capacity, self.transform = capacity, transform
         self.log = LakeLog(spark, f"{self.path}/landing")
 
     # state: the fold of the batches
@@ -73,6 +76,11 @@ class Landing:
         files = [f"{self.path}/{b['staged']}" for b in self._batches() if b["staged"] and b["window_id"] not in dropped and (windows is None or b["window_id"] in windows)]
         return self.spark.read.parquet(*files) if files else None
 
+    def staged_bytes(self) -> int:
+        """Content bytes of the rows that are landed and not dropped."""
+        rows = self.rows()
+        return 0 if rows is None else staged_bytes(rows, []).first()["staged_bytes"] or 0
+
     def applied(self) -> DataFrame:
         return self.spark.createDataFrame([(p, self.origin, n) for p, n in sorted(self.high_waters().items())], APPLIED)
 
@@ -81,7 +89,7 @@ class Landing:
     def stage(self, requests: DataFrame, query: str, batch_id: int, now_ms: int | None = None) -> dict:
         """Land one micro-batch of requests (tenant, token, request as JSON text); idempotent per (query, batch_id).
 
-        Raises InvalidInput for an invalid tenant or a request that is no JSON, PayloadTooLarge beyond the cap; then nothing is landed. Repeated requests
+        Raises Overloaded while the landed bytes reach the capacity, InvalidInput for an invalid tenant or a request that is no JSON, PayloadTooLarge beyond the cap; then nothing is landed. Repeated requests
         (same tenant and token, or content) within the batch or the ledger's time to live are counted as duplicates.
         """
         identity = f"{query}/{batch_id}"
@@ -90,6 +98,8 @@ class Landing:
             state = self.log.state()
             if identity in state.batches:
                 return state.batches[identity]
+            if self.capacity is not None and self.staged_bytes() >= self.capacity:
+                raise Overloaded(f"{self.capacity} bytes are staged")
             entry = self._prepare(requests, identity, now_ms)
             if self.log.append(state.version, [entry]):
                 return entry
@@ -115,6 +125,7 @@ class Landing:
         out = numbered.select("tenant", "partition", F.lit(window_id).cast("bigint").alias("window_id"), F.lit(self.origin).alias("origin"), "seq", *[c for c in rows.columns if c not in ("tenant", "partition", "dedup_key")])
         name = identity.replace("/", "-")
         staged, ledger = f"staged-{name}-{now_ms}", f"ledger-{name}-{now_ms}"
+        out = checked(out, self.transform, ["partition", "window_id", "origin", "seq"])
         out.write.mode("overwrite").parquet(f"{self.path}/{staged}")
         fresh.select("tenant", "dedup_key", F.lit(identity).alias("outcome"), F.lit(now_ms).cast("bigint").alias("created_ms")).write.mode("overwrite").parquet(f"{self.path}/{ledger}")
         tops = self.spark.read.parquet(f"{self.path}/{staged}").groupBy("partition").agg(F.max("seq").alias("n"), F.count("*").alias("rows")).collect()  # one row per partition of the batch
