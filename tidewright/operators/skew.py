@@ -100,7 +100,8 @@ def _same(df: DataFrame, other: DataFrame, keys: Sequence[str], prefix: str = "_
 def with_fragment(df: DataFrame, plan: LoadPlan, spread: Sequence[str]) -> DataFrame:
     """``df`` with ``__tw_shard`` (of the row's key) and ``__tw_task``. ``spread``: columns whose hash picks a heavy key's shard."""
     light = F.pmod(F.xxhash64(*plan.keys), F.lit(len(plan.bins))).cast("int")
-    bins = F.element_at(F.array(*[F.lit(t) for t in plan.bins]), light + 1)
+    # one literal that is folded into an array once, however many bins there are
+    bins = F.element_at(F.split(F.lit(",".join(map(str, plan.bins))), ",").cast("array<int>"), light + 1)
     if not plan.heavy:
         return df.withColumns({_SHARD: F.lit(0), _TASK: bins})
     heavy = _heavy_table(df, plan)
