@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -162,8 +163,10 @@ def test_guards(spark):
     assert Guards().fetch(spark.range(1000)).num_rows == 1000 and Guards().fetch(spark.range(0)).num_rows == 0
     with pytest.raises(ByteBudgetExceeded):
         Guards(max_bytes=1000).fetch(spark.range(100_000))
+    began = time.time()
     with pytest.raises(DeadlineExceeded):
         Guards(deadline_s=0.5).fetch(spark.range(2 * 10**10).where("pmod(xxhash64(id), 7) = 9"))
+    assert time.time() - began < 20  # interrupted: undisturbed it takes a minute
     g = Guards(concurrent=1)
     with g.slot(), pytest.raises(Overloaded), g.slot():
         pass

@@ -75,29 +75,36 @@ class Guards:
         The executors write it in packed batches with their sizes to the shared folder, in one interruptible job; only a result
         whose sizes sum to no more than the budget is then brought to the driver.
         """
-        spark, tag, late = df.sparkSession, f"guard-{uuid.uuid4().hex}", threading.Event()
+        sc, group, late = df.sparkSession.sparkContext, f"guard-{uuid.uuid4().hex}", threading.Event()
         budget = self.budget(staged, capacity)
 
-        def stop() -> None:
-            late.set()
-            spark.interruptTag(tag)
+        done = threading.Event()
 
-        timer = threading.Timer(self.deadline_s, stop)
+        def watch() -> None:
+            if not done.wait(self.deadline_s):
+                late.set()
+                while not done.is_set():  # again and again: the job may only be about to start
+                    sc.cancelJobGroup(group)
+                    done.wait(0.2)
+
+        watcher = threading.Thread(target=watch, daemon=True)
         with self.slot():
-            spark.addTag(tag)
-            timer.start()
+            # the group is the calling thread's; tasks are interrupted, not only told to stop
+            sc.setJobGroup(group, "guarded query", interruptOnCancel=True)
+            watcher.start()
             try:
                 return self._collect(df, budget, late)
             except (ByteBudgetExceeded, DeadlineExceeded):
-                spark.interruptTag(tag)
                 raise
             except Exception as error:
                 if late.is_set():
                     raise DeadlineExceeded(f"not done after {self.deadline_s} s") from error
                 raise
             finally:
-                timer.cancel()
-                spark.removeTag(tag)
+                done.set()
+                watcher.join()
+                for key in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+                    sc.setLocalProperty(key, None)
 
     @staticmethod
     def _collect(df: DataFrame, budget: int, late: threading.Event) -> pa.Table:
