@@ -66,3 +66,14 @@ def test_empty_and_nulls(spark, docs):
     nulls = spark.createDataFrame([(None, "TBD", None, None, "", ""), (1, "TBD", None, None, "", ""), (1, "TBD", None, None, "", "")], SCHEMA)
     assert sorted((r.doc_id for r in find_residue(nulls).collect()), key=repr) == [1, 1, None]
     assert without_residue(nulls).count() == 1
+
+
+def test_long_and_fenced_records(spark):
+    error = "Your session has expired, sign in again to continue reading."
+    strange = "Wombat kiosk resting between errands."
+    frame = ["Home", "Runbooks", "Search", "Help", "Status", "Log in"]
+    late = "\n".join([*frame, "Draining the seventh node of the group", *[error] * 6])  # the middle segment is the title
+    rows = [(0, late, "a/x/0.md", "h0", "", ""), (1, f"Error 404\n\n{error}\n```\n0x1f 77\n```", "a/x/1.md", "h1", "", "")]
+    rows += [(10 + k, "\n".join(["Text goes here."] * 15 + [strange] + ["Text goes here."] * 15), f"a/{k}/x.md", f"h{k}", "", "") for k in range(4)]
+    rows += [(20, f"{error}\n```sql\nSELECT origin FROM logs\n```", "b/x/1.md", "h1", "", ""), (21, f"How sign-in failed\n```\n{error}\n```", "b/x/2.md", "h2", "", "")]
+    assert {r.doc_id for r in find_residue(spark.createDataFrame(rows, SCHEMA)).collect()} == {0, 1, 10, 11, 12, 13}

@@ -7,7 +7,7 @@ of it but messages, page frame, one title and stray characters. Messages that no
 the corpus: a segment that mostly occurs beside known messages, in responses of several hosts under different titles
 and slugs whose terms it does not share, is a message too ("host" is the tenant that a record was collected from).
 
-Everything is expressions on the JVM; the only shuffles are of the few records that hold a known message.
+Everything is expressions on the JVM; the shuffles are of hashed segments, not of texts.
 """
 
 from __future__ import annotations
@@ -20,9 +20,7 @@ from tidewright.session import materialise
 
 #: A learned message: least records, least hosts, least share of its low-information records that are residue otherwise.
 LEARN_RECORDS, LEARN_HOSTS, LEARN_SHARE = 3, 2, 0.5
-#: A response of more segments than this isn't "low-information" for learning (known messages have no such bound).
-LOW_SEGMENTS = 12
-#: Longest title, longest stray tail, in characters; segments of page frame before a title.
+#: Longest title, longest stray tail, in characters; segments among which a title is looked for first.
 TITLE_CHARS, TAIL_CHARS, FRAME_SEGMENTS = 160, 64, 12
 
 _NAME = r"[\p{L}_.][\p{L}\p{N}_.  　-]{0,40}"
@@ -53,6 +51,8 @@ PLACEHOLDERS = [
     r"(?<![\p{L}\p{N}])X{4,}(?![\p{L}\p{N}])",
 ]
 _CODE = r"(?s)```.*?(?:```|\z)|``[^`]*``|`[^`\n]*`"
+#: Fenced code without its language.
+_FENCE = r"(?s)```[\w+-]*(.*?)(?:```|\z)"
 _SPLIT = r"[\r\n\u2028\u2029\u0085\x0b\x0c]+|(?<=[.!?…]) +|(?<=[。！？])| [|·•»›] "
 #: Characters that are dropped (soft hyphen, zero-width ones, byte order mark) and blanks that become a plain one, as character maps: far cheaper than patterns.
 _DROPPED = "\u00ad\ufeff\u200b\u200c\u200d\u2060"
@@ -106,7 +106,8 @@ def _is_stray(s: Column) -> Column:
 
 def _title(segs: Column) -> Column:
     """The first segment after the page frame."""
-    return F.coalesce(F.try_element_at(F.filter(F.slice(segs, 1, FRAME_SEGMENTS), lambda s: ~s.rlike(_FRAME)), F.lit(1)), F.lit(""))
+    first, rest = (F.try_element_at(F.filter(part, lambda s: ~s.rlike(_FRAME)), F.lit(1)) for part in (F.slice(segs, 1, FRAME_SEGMENTS), segs))
+    return F.coalesce(first, rest, F.lit(""))
 
 
 def _tail(segs: Column) -> Column:
@@ -129,46 +130,60 @@ def _once(df: DataFrame) -> DataFrame:
     return df.select(F.explode(F.array(F.struct(*df.columns))).alias("__row")).select("__row.*")
 
 
-def low_information(docs: DataFrame) -> DataFrame:
-    """Records without code that hold a known message and are short or all messages: row, doc_id, path, tenant, segs, title, tail, only_messages.
+def _compared(docs: DataFrame) -> DataFrame:
+    """Every segment that may tell, once a record: row, doc_id, tenant, kind, code, own, m.
 
-    A record of more than LOW_SEGMENTS segments is looked at closer only if its middle segment may belong to a page of messages; then
-    each segment is tested in generated code, and what follows sees only the few records that hold a message.
+    Kinds: 0 known message, 2 a last segment that may be stray characters, 3 unknown, 4 title; page frame and stray segments are left out.
+    Lines of fenced code are segments with ``code``: they can be what is left of a record, but aren't evidence. ``own``: shares a term with
+    title or address. ``m`` is the hash of the masked segment.
     """
-    rows = docs.where(~F.col("text").contains("```")).select("doc_id", "path", "tenant", segments(F.col("text")).alias("segs"))
-    rows = _once(rows.withColumn("row", F.monotonically_increasing_id())).where("size(segs) > 0")
-    middle = F.try_element_at(F.col("segs"), (F.floor(F.size("segs") / 2) + 1).cast("int"))
-    rows = rows.where((F.size("segs") <= LOW_SEGMENTS) | is_message(middle) | middle.rlike(_FRAME) | _is_stray(middle))
-    hits = rows.select("*", F.explode("segs").alias("s")).where(is_message(F.col("s"))).drop("s").dropDuplicates(["row"])
-    hits = _once(_once(hits).withColumn("title", _title(F.col("segs"))).withColumn("tail", _tail(F.col("segs"))))
-    rest = F.forall("segs", lambda s: ((s == F.col("title")) & (F.length(s) <= TITLE_CHARS)) | (s == F.col("tail")) | _is_stray(s) | is_message(s) | s.rlike(_FRAME))
-    return hits.withColumn("only_messages", rest)
-
-
-def _unknown(low: DataFrame) -> DataFrame:
-    """Masked unknown segments of short responses: row, doc_id, tenant, m, own (shares a term with title or address)."""
-    each = low.select("row", "doc_id", "tenant", "title", "tail", "path", F.size("segs").alias("n"), F.explode("segs").alias("s"))
-    each = each.where((F.col("n") == 1) | (F.col("s") != F.col("title")) | (F.length("s") > TITLE_CHARS)).where((F.col("s") != F.col("tail")) | (F.length("s") > 12))
-    each = each.where(~_is_stray(F.col("s")) & ~F.col("s").rlike(_FRAME) & ~is_message(F.col("s")))
-    own = F.size(F.array_intersect(_terms(F.col("s")), _terms(F.concat_ws(" ", F.when(F.col("n") > 1, F.col("title")), F.col("path"))))) > 0
-    return each.select("row", "doc_id", "tenant", F.xxhash64(_masked(F.col("s"))).alias("m"), own.alias("own"))
-
-
-def _learned(near: DataFrame, docs: DataFrame) -> DataFrame | None:
-    """Masked segments learned as messages, or None. ``near``: unknown segments of short responses that hold a known message.
-
-    Only candidates, unknown segments beside known messages of enough records and hosts, are looked for in the other records; without
-    candidates that pass over the records is not needed.
+    fenced = F.col("text").contains("```")
+    outside = F.when(fenced, F.regexp_replace("text", _FENCE, "\n")).otherwise(F.col("text"))
+    inside = F.when(fenced, segments(F.array_join(F.regexp_extract_all("text", F.lit(_FENCE), F.lit(1)), "\n"))).otherwise(F.array().cast("array<string>"))
+    rows = _once(docs.select("doc_id", "path", "tenant", segments(outside).alias("segs"), inside.alias("inside")).withColumn("row", F.monotonically_increasing_id()))
+    rows = rows.where("size(segs) > 0")
+    rows = _once(_once(rows).withColumn("title", _title(F.col("segs"))).withColumn("tail", _tail(F.col("segs"))).withColumn("n", F.size("segs")))
+    texts = F.transform(F.array_distinct("segs"), lambda s: F.struct(s.alias("s"), F.lit(False).alias("code")))
+    parts = F.concat(texts, F.transform(F.array_distinct("inside"), lambda s: F.struct(s.alias("s"), F.lit(True).alias("code"))))
+    each = rows.select("row", "doc_id", "tenant", "path", "title", "tail", "n", F.explode(parts).alias("p")).select("*", "p.s", "p.code").drop("p")
+    s, outer = F.col("s"), ~F.col("code")
+    kind = (
+        F.when(is_message(s), 0)
+        .when(outer & (F.col("n") > 1) & (s == F.col("title")) & (F.length(s) <= TITLE_CHARS), 4)
+        .when(s.rlike(_FRAME) | _is_stray(s) | (outer & (s == F.col("tail")) & (F.length(s) <= 12)), 1)
+        .when(outer & (s == F.col("tail")), 2)
+        .otherwise(3)
+    )
+    each = _once(each.withColumn("kind", kind)).where("kind != 1")
+    headed = F.when(F.col("n") > 1, F.col("title"))
+    own = F.size(F.array_intersect(_terms(s), _terms(F.concat_ws(" ", headed, F.col("path"))))) > 0
+    return each.select("row", "doc_id", "tenant", "kind", "code", F.when(F.col("kind") >= 2, own).otherwise(False).alias("own"), F.when(F.col("kind") >= 2, F.xxhash64(_masked(s))).alias("m"))
+
+
+def _records(each: DataFrame) -> DataFrame:
+    """One row per record: known messages outside of code, unknown segments without the tail (open), and ms, the masked segments."""
+    unknown = F.col("kind").isin(2, 3)
+    return each.groupBy("row").agg(
+        F.first("doc_id").alias("doc_id"),
+        F.first("tenant").alias("tenant"),
+        F.count_if((F.col("kind") == 0) & ~F.col("code")).alias("known"),
+        F.count_if(F.col("kind") == 3).alias("open"),
+        F.collect_set(F.when(F.col("m").isNotNull(), F.struct("m", "own", unknown.alias("unknown")))).alias("ms"),
+    )
+
+
+def _learned(each: DataFrame) -> DataFrame:
+    """Masked segments learned as messages, of records of any length, from all their occurrences in ``each``: a row per record and masked segment.
+
+    A segment is learned if it mostly stands beside known messages, in records of several hosts.
     """
-    beside = near.where(~F.col("own")).groupBy("m").agg(F.count_distinct("row").alias("beside"), F.count_distinct("tenant").alias("hosts"))
-    candidates = materialise(beside.where((F.col("beside") >= LEARN_RECORDS) & (F.col("hosts") >= LEARN_HOSTS)).select("m", "beside"), "candidates")
-    if candidates.isEmpty():
-        return None
-    segs = segments(F.coalesce("text", F.lit("")))
-    each = docs.select(F.explode(segs).alias("s"), F.size(segs).alias("n")).where(F.col("n") <= LOW_SEGMENTS)
-    seen = each.select(F.xxhash64(_masked(F.col("s"))).alias("m")).groupBy("m").agg(F.count(F.lit(1)).alias("n"))
-    both = candidates.join(seen, "m")
-    return both.where(F.col("beside") >= F.col("n") * LEARN_SHARE).select("m")
+    seen = each.groupBy("m").agg(
+        F.count(F.lit(1)).alias("records"),
+        F.count_if("beside").alias("beside"),
+        F.count_distinct(F.when(F.col("beside"), F.col("tenant"))).alias("beside_hosts"),
+    )
+    beside = (F.col("beside") >= LEARN_RECORDS) & (F.col("beside_hosts") >= LEARN_HOSTS) & (F.col("beside") >= F.col("records") * LEARN_SHARE)
+    return seen.where(beside).select("m")
 
 
 def find_residue(docs: DataFrame) -> DataFrame:
@@ -177,14 +192,18 @@ def find_residue(docs: DataFrame) -> DataFrame:
     ``docs`` has doc_id, text, path, tenant; other columns are ignored. Null, empty and blank texts are not residue. Null paths and
     tenants lack their evidence. A record may have two kinds of evidence; repeated rows give repeated results.
     """
-    low = materialise(low_information(docs).where(F.col("only_messages") | (F.size("segs") <= LOW_SEGMENTS)), "low")
+    records = materialise(_records(_compared(docs)), "records")
+    message = (F.col("known") > 0) & (F.col("open") == 0)
     known = docs.where(has_placeholder(F.col("text"))).select("doc_id", F.lit("placeholder").alias("evidence"))
-    known = known.unionAll(low.where("only_messages").select("doc_id", F.lit("message").alias("evidence")))
-    near = materialise(_unknown(low.where("not only_messages")), "near")
-    learned = _learned(near, docs)
-    if learned is None:
+    known = known.unionAll(records.where(message).select("doc_id", F.lit("message").alias("evidence")))
+    each = records.select("row", "tenant", "known", F.explode("ms").alias("p")).select("*", "p.*").drop("p")
+    each = each.groupBy("m", "row").agg(*[F.first(c).alias(c) for c in ("tenant", "known")], F.bool_or("own").alias("own"), F.bool_or("unknown").alias("unknown"))
+    beside = F.col("unknown") & ~F.col("own") & (F.col("known") > 0)
+    learned = materialise(_learned(each.select("m", "tenant", beside.alias("beside"))), "learned")
+    if learned.isEmpty():
         return known
-    votes = near.join(learned.withColumn("hit", F.lit(True)), "m", "left").groupBy("row", "doc_id").agg(F.count_if(F.col("hit").isNull()).alias("open"))
+    left = records.where(~message).select("row", "doc_id", F.explode(F.array_distinct(F.transform(F.filter("ms", lambda x: x["unknown"]), lambda x: x["m"]))).alias("m"))
+    votes = left.join(learned.withColumn("hit", F.lit(True)), "m", "left").groupBy("row", "doc_id").agg(F.count_if(F.col("hit").isNull()).alias("open"))
     return known.unionAll(votes.where("open = 0").select("doc_id", F.lit("learned").alias("evidence")))
 
 
