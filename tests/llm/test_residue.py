@@ -77,3 +77,12 @@ def test_long_and_fenced_records(spark):
     rows += [(10 + k, "\n".join(["Text goes here."] * 15 + [strange] + ["Text goes here."] * 15), f"a/{k}/x.md", f"h{k}", "", "") for k in range(4)]
     rows += [(20, f"{error}\n```sql\nSELECT origin FROM logs\n```", "b/x/1.md", "h1", "", ""), (21, f"How sign-in failed\n```\n{error}\n```", "b/x/2.md", "h2", "", "")]
     assert {r.doc_id for r in find_residue(spark.createDataFrame(rows, SCHEMA)).collect()} == {0, 1, 10, 11, 12, 13}
+
+
+def test_messages_are_learned_without_the_lists(spark):
+    strange = "Gwall annisgwyl, rhowch gynnig arall arni nes ymlaen."
+    rows = [(k, f"Draining number {'abcdefghijkl'[k] * 5}\n{strange}" if k % 3 else strange, f"runbook/host{k % 5}/{k}.md", f"h{k % 5}", "", "") for k in range(12)]
+    rows += [(20 + k, f"Gaps of origin {k}\nThe gaps of this origin were filled within minutes.", f"note/host{k % 5}/{k}.md", f"h{k % 5}", "", "") for k in range(12)]
+    rows += [(40 + k, f"Some note {k}\nOnly one host repeats this wording.", f"note/host1/{k}.md", "h1", "", "") for k in range(12)]
+    ids = {r.doc_id: r.evidence for r in find_residue(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert ids == {k: "learned" for k in range(12)}

@@ -5,7 +5,8 @@ taken out first, so texts that show or discuss placeholders are left alone. For
 segments and each is compared with the address slug, the title and known messages: a response is residue if nothing is left
 of it but messages, page frame, one title and stray characters. Messages that no list knows are learned from
 the corpus: a segment that mostly occurs beside known messages, in responses of several hosts under different titles
-and slugs whose terms it does not share, is a message too ("host" is the tenant that a record was collected from).
+and slugs whose terms it does not share, is a message too ("host" is the tenant that a record was collected from); and so is one
+whose responses are nearly all short and share no term with their titles and slugs, over many hosts, whatever the lists know.
 
 Everything is expressions on the JVM; the shuffles are of hashed segments, not of texts.
 """
@@ -20,6 +21,10 @@ from tidewright.session import materialise
 
 #: A learned message: least records, least hosts, least share of its low-information records that are residue otherwise.
 LEARN_RECORDS, LEARN_HOSTS, LEARN_SHARE = 3, 2, 0.5
+#: Learned without the lists: least records, least hosts and places, least share of its records that are short, and that also share no term with title or address.
+APART_RECORDS, APART_HOSTS, SHORT_SHARE, APART_SHARE = 8, 4, 0.95, 0.6
+#: A response of more segments than this isn't short (only learning without the lists asks for short ones).
+LOW_SEGMENTS = 12
 #: Longest title, longest stray tail, in characters; segments among which a title is looked for first.
 TITLE_CHARS, TAIL_CHARS, FRAME_SEGMENTS = 160, 64, 12
 
@@ -131,11 +136,11 @@ def _once(df: DataFrame) -> DataFrame:
 
 
 def _compared(docs: DataFrame) -> DataFrame:
-    """Every segment that may tell, once a record: row, doc_id, tenant, kind, code, own, m.
+    """Every segment that may tell, once a record: row, doc_id, tenant, n (segments outside of code), kind, code, own, place, m.
 
     Kinds: 0 known message, 2 a last segment that may be stray characters, 3 unknown, 4 title; page frame and stray segments are left out.
     Lines of fenced code are segments with ``code``: they can be what is left of a record, but aren't evidence. ``own``: shares a term with
-    title or address. ``m`` is the hash of the masked segment.
+    title or address. ``m`` is the hash of the masked segment, ``place`` that of title and masked address.
     """
     fenced = F.col("text").contains("```")
     outside = F.when(fenced, F.regexp_replace("text", _FENCE, "\n")).otherwise(F.col("text"))
@@ -157,17 +162,21 @@ def _compared(docs: DataFrame) -> DataFrame:
     each = _once(each.withColumn("kind", kind)).where("kind != 1")
     headed = F.when(F.col("n") > 1, F.col("title"))
     own = F.size(F.array_intersect(_terms(s), _terms(F.concat_ws(" ", headed, F.col("path"))))) > 0
-    return each.select("row", "doc_id", "tenant", "kind", "code", F.when(F.col("kind") >= 2, own).otherwise(False).alias("own"), F.when(F.col("kind") >= 2, F.xxhash64(_masked(s))).alias("m"))
+    place = F.xxhash64(headed, _masked(F.lower("path")))
+    return each.select("row", "doc_id", "tenant", "n", "kind", "code", F.when(F.col("kind") >= 2, own).otherwise(False).alias("own"), place.alias("place"), F.when(F.col("kind") >= 2, F.xxhash64(_masked(s))).alias("m"))
 
 
 def _records(each: DataFrame) -> DataFrame:
-    """One row per record: known messages outside of code, unknown segments without the tail (open), and ms, the masked segments."""
+    """One row per record: known messages outside of code, unknown segments without (open) and with the tail, whether one is its own, and ms, the masked segments."""
     unknown = F.col("kind").isin(2, 3)
     return each.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"),
         F.first("tenant").alias("tenant"),
+        F.first("n").alias("n"),
+        F.first("place").alias("place"),
         F.count_if((F.col("kind") == 0) & ~F.col("code")).alias("known"),
         F.count_if(F.col("kind") == 3).alias("open"),
+        F.coalesce(F.bool_or(F.col("own") & unknown), F.lit(False)).alias("any_own"),
         F.collect_set(F.when(F.col("m").isNotNull(), F.struct("m", "own", unknown.alias("unknown")))).alias("ms"),
     )
 
@@ -175,15 +184,23 @@ def _records(each: DataFrame) -> DataFrame:
 def _learned(each: DataFrame) -> DataFrame:
     """Masked segments learned as messages, of records of any length, from all their occurrences in ``each``: a row per record and masked segment.
 
-    A segment is learned if it mostly stands beside known messages, in records of several hosts.
+    Either a segment stands beside known messages, or, whatever the lists say, nearly all its records are short and most say nothing about
+    their own title and address, over many hosts and places. There, records that it heads count too, but some must hold it below a title.
     """
     seen = each.groupBy("m").agg(
         F.count(F.lit(1)).alias("records"),
         F.count_if("beside").alias("beside"),
         F.count_distinct(F.when(F.col("beside"), F.col("tenant"))).alias("beside_hosts"),
+        F.count_if("unknown").alias("below"),
+        F.count_if("short").alias("short"),
+        F.count_if("apart").alias("apart"),
+        F.count_distinct(F.when(F.col("apart"), F.col("tenant"))).alias("apart_hosts"),
+        F.count_distinct(F.when(F.col("apart"), F.col("place"))).alias("places"),
     )
     beside = (F.col("beside") >= LEARN_RECORDS) & (F.col("beside_hosts") >= LEARN_HOSTS) & (F.col("beside") >= F.col("records") * LEARN_SHARE)
-    return seen.where(beside).select("m")
+    wide = (F.col("records") >= APART_RECORDS) & (F.col("below") >= LEARN_RECORDS) & (F.col("apart_hosts") >= APART_HOSTS) & (F.col("places") >= APART_HOSTS)
+    apart = wide & (F.col("short") >= F.col("records") * SHORT_SHARE) & (F.col("apart") >= F.col("records") * APART_SHARE)
+    return seen.where(beside | apart).select("m")
 
 
 def find_residue(docs: DataFrame) -> DataFrame:
@@ -196,10 +213,12 @@ def find_residue(docs: DataFrame) -> DataFrame:
     message = (F.col("known") > 0) & (F.col("open") == 0)
     known = docs.where(has_placeholder(F.col("text"))).select("doc_id", F.lit("placeholder").alias("evidence"))
     known = known.unionAll(records.where(message).select("doc_id", F.lit("message").alias("evidence")))
-    each = records.select("row", "tenant", "known", F.explode("ms").alias("p")).select("*", "p.*").drop("p")
-    each = each.groupBy("m", "row").agg(*[F.first(c).alias(c) for c in ("tenant", "known")], F.bool_or("own").alias("own"), F.bool_or("unknown").alias("unknown"))
+    each = records.select("row", "tenant", "n", "place", "known", "any_own", F.explode("ms").alias("p")).select("*", "p.*").drop("p")
+    each = each.groupBy("m", "row").agg(*[F.first(c).alias(c) for c in ("tenant", "n", "place", "known", "any_own")], F.bool_or("own").alias("own"), F.bool_or("unknown").alias("unknown"))
     beside = F.col("unknown") & ~F.col("own") & (F.col("known") > 0)
-    learned = materialise(_learned(each.select("m", "tenant", beside.alias("beside"))), "learned")
+    short = F.col("n") <= LOW_SEGMENTS
+    each = each.select("m", "tenant", "place", "unknown", beside.alias("beside"), short.alias("short"), (short & ~F.col("any_own")).alias("apart"))
+    learned = materialise(_learned(each), "learned")
     if learned.isEmpty():
         return known
     left = records.where(~message).select("row", "doc_id", F.explode(F.array_distinct(F.transform(F.filter("ms", lambda x: x["unknown"]), lambda x: x["m"]))).alias("m"))
