@@ -192,3 +192,16 @@ def test_changelog_views(spark, tmp_path):
     assert asof_join(left, right.limit(0), ["k"], "ts", "at", ["w"]).where("w is null").count() == 6
     v = {r.w: r.valid_to for r in validity(right.where("k = 'a'").withColumns({"origin": F.lit("o"), "seq": F.lit(1)}), ["k"], "at").collect()}
     assert v["r5"] is None and v["r1"] is not None
+
+
+def test_range_keeps_landed_rows_of_uncommitted_partitions(spark, tmp_path):
+    landing, lake = Landing(spark, str(tmp_path / "landing"), "n1", window_ms=1), LakeLog(spark, str(tmp_path / "lake"))
+    land(spark, landing, [("t", "1", request("ab"))], 0, 1000)
+    drain(spark, landing, lake, LOGS, 2**60, lateness_ms=0)
+    land(spark, landing, [("new", "1", request("c"))], 1, 90_000)  # another tenant lands, nothing of it is committed
+    base = 1_770_000_000_000
+    e = Engine(spark, lake, [LOGS], hot={"logs": landing.rows()})
+    assert min(marks(lake).values()) >= base
+    assert sorted(r.partition for r in e.view("logs", base, base).collect()) == ["new.0", "t.0"]
+    assert not Engine(spark, lake, [LOGS], hot={"logs": landing.rows()}, tenants=["new"]).absent("logs", base, base)
+    assert e.absent("logs", base - 1000, base - 500)

@@ -86,7 +86,7 @@ class Engine:
         return self.spark.createDataFrame(sorted(self._marks.items()), WATERMARK)
 
     def view(self, name: str, from_ms: int | None = None, to_ms: int | None = None) -> DataFrame:
-        """The dataset's rows; a time range prunes committed files by their manifests, and the landing if the range is wholly committed."""
+        """The dataset's rows; a time range prunes committed files by their manifests, and the landed rows of partitions that are complete through it."""
         d = self.datasets[name]
         cold = self.lake.scan(name, self.version, from_ms, to_ms)
         ms = time_ms(d.time_col)
@@ -95,10 +95,13 @@ class Engine:
             in_range = in_range & (ms >= from_ms)
         if to_ms is not None:
             in_range = in_range & (ms <= to_ms)
-        marks = self._partition_marks(name)
         hot = self.hot.get(name)
-        if hot is None or (to_ms is not None and marks and None not in marks.values() and min(marks.values()) >= to_ms):
+        if hot is None:
             hot = self.spark.createDataFrame([], cold.schema)
+        elif to_ms is not None and len(self._marks) <= LITERAL_BOUNDS:
+            # partitions without a bound have landed rows only, which stay
+            through = [p for p, mark in sorted(self._marks.items()) if mark is not None and mark >= to_ms]
+            hot = hot.where(F.col("partition").isNull() | ~F.col("partition").isin(through))
         hot = project_generation(hot, cold.schema)
         if len(self._marks) <= LITERAL_BOUNDS:
             bound = F.lit(None).cast("bigint")
