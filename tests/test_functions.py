@@ -90,3 +90,19 @@ def test_declarations():
     assert {f.simpleString() for f in merged_schema(b, a)} == {f.simpleString() for f in merged_schema(a, b)}
     with pytest.raises(SchemaConflict):
         merged_schema(s(x=T.LongType()), s(x=T.DoubleType()))
+
+
+def test_otlp_values_of_any_depth(spark):
+    def nested(k):
+        if k == 0:
+            return {"kvlistValue": {"values": [{"key": 'q"é', "value": {"stringValue": "a\n\"b\""}}, {"key": "ref", "value": {"intValue": "1"}, "keyStrindex": 2}, {"key": "y", "value": {"bytesValue": "AAH/"}}, {"key": "n", "value": {"doubleValue": "NaN"}}, {"key": "d", "value": {"doubleValue": 0.5}}, {"key": "i", "value": {"intValue": "9223372036854775807"}}, {"key": "b", "value": {"boolValue": True}}, {"key": "none"}, {"key": "e", "value": {"arrayValue": {}}}]}}
+        return {"arrayValue": {"values": [{"intValue": str(k)}, nested(k - 1)]}}
+
+    def plain(k):
+        return {'q"é': 'a\n"b"', "y": "0001ff", "n": None, "d": 0.5, "i": 9223372036854775807, "b": True, "none": None, "e": []} if k == 0 else [k, plain(k - 1)]
+
+    depths = [0, 1, 2, 3, 4, 5, 9, 60]
+    rows = [(json.dumps({"resourceLogs": [{"resource": {"attributes": [{"key": "r", "value": nested(k)}]}, "scopeLogs": [{"logRecords": [{"severityNumber": k, "body": nested(k), "attributes": [{"key": "x", "value": nested(k)}, {"key": "z", "value": {"stringValue": "{"}}, {"key": "none", "value": None}]}]}]}]}),) for k in depths]
+    got = {r.severity_number: r for r in otlp.flatten_logs(spark.createDataFrame(rows, "j string").select(otlp.parse_request(F.col("j")).alias("request"))).collect()}
+    for k in depths:
+        assert json.loads(got[k].body) == plain(k) and json.loads(got[k].attrs) == {"x": plain(k), "z": "{", "none": None} and json.loads(got[k].resource_attrs) == {"r": plain(k)}

@@ -2,17 +2,23 @@
 
 A request nests resources, scopes and records; each level is exploded on the JVM. Empty groups give no rows; a missing resource has
 the attributes ``{}``, a missing scope a null name. Attribute values are the recursive AnyValue, which is kept as JSON text
-and rendered level by level to a fixed depth; deeper values stay in their wire form.
+and rendered level by level on the JVM to a fixed depth; the few values that go deeper are rendered as a whole by an Arrow UDF.
 """
 
 from __future__ import annotations
 
+import base64
+import json
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewright.functions.ids import hex_id
 
-#: How deep arrays and key-value lists are rendered.
+#: How deep arrays and key-value lists are rendered on the JVM.
 DEPTH = 3
 
 _KV = "array<struct<key:string,value:string,keyStrindex:int>>"
@@ -36,8 +42,62 @@ def _quoted(c: Column) -> Column:
     return F.substring(framed, F.lit(6), F.length(framed) - 6)
 
 
+def _rendered(v: object) -> str:
+    """JSON text of a parsed AnyValue, as ``value_json``, to any depth (one frame a level)."""
+    v = v if isinstance(v, dict) else {}
+    if (x := v.get("stringValue")) is not None:
+        return json.dumps(x if isinstance(x, str) else json.dumps(x), ensure_ascii=False)
+    if isinstance(x := v.get("boolValue"), bool):
+        return "true" if x else "false"
+    if (x := v.get("intValue")) is not None:
+        return str(x)
+    if (x := v.get("doubleValue")) is not None:
+        try:
+            number = float(x)
+        except ValueError:
+            return "null"
+        return repr(number) if math.isfinite(number) else "null"
+    if (x := v.get("bytesValue")) is not None:
+        try:
+            return f'"{base64.b64decode(x).hex()}"'
+        except ValueError:
+            return "null"
+    if isinstance(x := v.get("arrayValue"), dict):
+        parts = []
+        for item in x.get("values") or []:
+            parts.append(_rendered(item))
+        return "[" + ",".join(parts) + "]"
+    if isinstance(x := v.get("kvlistValue"), dict):
+        parts = []
+        for pair in x.get("values") or []:
+            if not int(pair.get("keyStrindex") or 0):
+                parts.append(json.dumps(pair.get("key") or "", ensure_ascii=False) + ":" + _rendered(pair.get("value")))
+        return "{" + ",".join(parts) + "}"
+    return "null"
+
+
+@F.pandas_udf(T.StringType())
+def _deep_json(value: pd.Series) -> pd.Series:
+    """AnyValues as JSON text, rendered; null, which all but the deep ones are, stays null."""
+    return value.map(lambda text: None if text is None else _rendered(json.loads(text)))
+
+
+def _may_be_deep(value: Column, depth: int) -> Column:
+    """Whether a value names more arrays and lists than ``depth``; side by side they count too, which costs time only."""
+    return value.contains('Value"') & (F.size(F.split(value, '"(?:arrayValue|kvlistValue)"')) > depth + 1)
+
+
+def _whole(rendered: Column, value: Column, deep: Column) -> Column:
+    """``rendered``, or ``value`` rendered by the UDF where it may go deeper; the test is on the wire form, so nothing is rendered twice."""
+    return F.when(deep, _deep_json(F.when(deep, value))).otherwise(rendered)
+
+
 def value_json(value: Column, depth: int = DEPTH) -> Column:
-    """JSON text of an AnyValue given as JSON text: bytes as hex, NaN and infinities and unknown forms as null."""
+    """JSON text of an AnyValue given as JSON text: bytes as hex, NaN and infinities and unknown forms as null. Not for use in lambdas."""
+    return _whole(_value(value, depth), value, _may_be_deep(value, depth))
+
+
+def _value(value: Column, depth: int) -> Column:
     v = F.from_json(value, _VALUE)
     number = v["doubleValue"].cast("double")
     finite = F.when(F.isnan(number) | (F.abs(number) == float("inf")), F.lit("null")).otherwise(number.cast("string"))
@@ -49,16 +109,28 @@ def value_json(value: Column, depth: int = DEPTH) -> Column:
         .when(v["bytesValue"].isNotNull(), F.concat(F.lit('"'), F.lower(F.hex(F.unbase64(v["bytesValue"]))), F.lit('"')))
     )
     if depth > 0:
-        items = F.transform(v["arrayValue"]["values"], lambda x: value_json(x, depth - 1))
+        items = F.transform(v["arrayValue"]["values"], lambda x: _value(x, depth - 1))
         out = out.when(v["arrayValue"].isNotNull(), F.concat(F.lit("["), F.coalesce(F.array_join(items, ","), F.lit("")), F.lit("]")))
-        out = out.when(v["kvlistValue"].isNotNull(), attributes_json(v["kvlistValue"]["values"], depth - 1))
+        out = out.when(v["kvlistValue"].isNotNull(), _attributes(v["kvlistValue"]["values"], depth - 1))
     return F.coalesce(out, F.lit("null"))
 
 
 def attributes_json(pairs: Column, depth: int = DEPTH) -> Column:
-    """A JSON object of attributes; pairs whose key is an interning reference are left out; without pairs ``{}``."""
+    """A JSON object of attributes; pairs whose key is an interning reference are left out; without pairs ``{}``. Not for use in lambdas."""
+    # the pairs' values are JSON texts already, so they are framed without quoting them again
+    each = F.transform(pairs, lambda p: F.concat(F.lit('{"key":'), _quoted(F.coalesce(p["key"], F.lit(""))), F.lit(',"keyStrindex":'), F.coalesce(p["keyStrindex"], F.lit(0)).cast("string"), F.lit(',"value":'), _wire(p["value"]), F.lit("}")))
+    wire = F.concat(F.lit('{"kvlistValue":{"values":['), F.array_join(each, ","), F.lit("]}}"))
+    return _whole(_attributes(pairs, depth), wire, F.coalesce(F.exists(pairs, lambda p: _may_be_deep(p["value"], depth)), F.lit(False)))
+
+
+def _wire(value: Column) -> Column:
+    # a value that is no JSON object is text without its quotes, and no AnyValue
+    return F.when(F.ltrim(value).startswith("{"), value).otherwise("null")
+
+
+def _attributes(pairs: Column, depth: int) -> Column:
     plain = F.filter(pairs, lambda p: F.coalesce(p["keyStrindex"], F.lit(0)) == 0)
-    each = F.transform(plain, lambda p: F.concat(_quoted(F.coalesce(p["key"], F.lit(""))), F.lit(":"), value_json(p["value"], depth)))
+    each = F.transform(plain, lambda p: F.concat(_quoted(F.coalesce(p["key"], F.lit(""))), F.lit(":"), _value(p["value"], depth)))
     return F.concat(F.lit("{"), F.coalesce(F.array_join(each, ","), F.lit("")), F.lit("}"))
 
 
