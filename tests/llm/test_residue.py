@@ -86,3 +86,28 @@ def test_messages_are_learned_without_the_lists(spark):
     rows += [(40 + k, f"Some note {k}\nOnly one host repeats this wording.", f"note/host1/{k}.md", "h1", "", "") for k in range(12)]
     ids = {r.doc_id: r.evidence for r in find_residue(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert ids == {k: "learned" for k in range(12)}
+
+
+def test_length_code_and_wording_make_no_switch(spark):
+    notice = "Please switch on JavaScript to see this dashboard."
+    around = lambda k: "\n".join(["Draining the seventh node", *[notice] * k, "Draining the seventh node", *[notice] * k])
+    rows = [(0, around(4), "a/x/0.md", "h0", "", ""), (1, around(7), "a/x/1.md", "h1", "", ""), (2, around(700), "a/x/2.md", "h2", "", "")]
+    rows += [(3, "Page not found.\n```\n```\nPlease enable JavaScript to continue.", "a/x/3.md", "h0", "", "")]
+    real = [
+        "We could not reproduce the memory leak on staging, so the owners raised the heap of the sealer instead.",
+        "Unable to connect the second replica before the switch had been replaced, we ran on one for a day.",
+        "If the problem persists after the drain, raise the seal age and look at the ledger again.",
+        "The page you asked for was written by the storage team and lists the limits of each tenant.",
+        "Please try again later, said the old runbook, but nobody knew how much later that was.",
+    ]
+    rows += [(10 + k, text, f"runbook/x/{k}.md", "h1", "", "") for k, text in enumerate(real)]
+    assert {r.doc_id for r in find_residue(spark.createDataFrame(rows, SCHEMA)).collect()} == {0, 1, 2, 3}
+
+
+def test_stray_ends_are_told_from_content(spark):
+    error = "Your session has expired, sign in again to continue reading."
+    noise = "Qwfp luy arst neio zxcv"
+    rows = [(k, f"{error}\n{noise}", f"a/h{k}/x.md", f"h{k}", "", "") for k in range(2)]
+    rows += [(10 + k, f"The gap of {w} was filled.\nAfter {w} had moved, its {w}s were counted twice.\nNobody saw why {w} grew.\n{noise}", f"note/h{k}/{w}.md", f"h{k}", "", "") for k, w in enumerate(["amber", "birch", "cobalt", "dune"])]
+    rows += [(20, f"{error}\nIt was the clock of the gateway.", "a/h1/y.md", "h1", "", "")]
+    assert {r.doc_id for r in find_residue(spark.createDataFrame(rows, SCHEMA)).collect()} == {0, 1}

@@ -1,14 +1,21 @@
 """Records that hold template residue, filler, an error page or a script notice instead of content.
 
-Two kinds of evidence. A placeholder detector finds unfilled fields that stand in running text; code blocks and quoted code are
-taken out first, so texts that show or discuss placeholders are left alone. For whole responses, the text is cut into
-segments and each is compared with the address slug, the title and known messages: a response is residue if nothing is left
-of it but messages, page frame, one title and stray characters. Messages that no list knows are learned from
-the corpus: a segment that mostly occurs beside known messages, in responses of several hosts under different titles
-and slugs whose terms it does not share, is a message too ("host" is the tenant that a record was collected from); and so is one
-whose responses are nearly all short and share no term with their titles and slugs, over many hosts, whatever the lists know.
-
-Everything is expressions on the JVM; the shuffles are of hashed segments, not of texts.
+A placeholder detector finds unfilled fields that stand in running text; code blocks and quoted code are taken out first, so texts
+that show or discuss placeholders are left alone.
+
+For whole responses, the text is cut into segments, and what is left without title, page frame and stray characters is the
+response's body. Segments are compared over the corpus without their numbers and names. A segment is learned as a message if
+
+* it is duplicated: several responses of several hosts at several places have it ("host" is the tenant that a record was collected
+  from, "place" its title with the address slug),
+* it is mismatched: in most of them it shares no term with the title or the slug,
+* it carries little information: it makes up a large part of the bodies that it stands in, and hardly ever stands in long ones.
+
+Then, in a second and third look, a duplicated and mismatched segment that mostly stands beside learned ones is a message
+too. Word lists (lexicon.py) are the last evidence, for messages that are too rare in the corpus to be learned. A record is residue if its
+body holds a message and nothing else. Records of any length count in all of this and are judged alike.
+
+Everything is expressions on the JVM; texts are cut once, and the shuffles are of distinct segments and of records that hold a message.
 """
 
 from __future__ import annotations
@@ -17,16 +24,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm import lexicon
+from tidewright.operators.skew import lookup_join
 from tidewright.session import materialise
 
-#: A learned message: least records, least hosts, least share of its low-information records that are residue otherwise.
-LEARN_RECORDS, LEARN_HOSTS, LEARN_SHARE = 3, 2, 0.5
-#: Learned without the lists: least records, least hosts and places, least share of its records that are short, and that also share no term with title or address.
-APART_RECORDS, APART_HOSTS, SHORT_SHARE, APART_SHARE = 8, 4, 0.95, 0.6
-#: A response of more segments than this isn't short (only learning without the lists asks for short ones).
-LOW_SEGMENTS = 12
-#: Longest title, longest stray tail, in characters; segments among which a title is looked for first.
-TITLE_CHARS, TAIL_CHARS, FRAME_SEGMENTS = 160, 64, 12
+#: A learned message: least responses; least part of a body that it makes up on average, over ``PRIOR`` more responses in which it makes up nothing.
+LEAST, PART, PRIOR = 3, 0.22, 4
+#: A body of more segments than LONG is long; most of a message's responses that may be long, least that must be mismatched, and least beside other messages.
+LONG, LONG_SHARE, MISMATCH_SHARE, BESIDE_SHARE = 10, 0.1, 0.6, 0.5
+#: Stray characters at the end: least share of a segment's responses that it ends. One of so few characters needs no evidence.
+LAST_SHARE, STRAY_CHARS = 0.9, 12
+#: A first line of more characters is no title but content.
+TITLE_CHARS = 160
+#: Looks at segments beside messages.
+LOOKS = 2
 
 _NAME = r"[\p{L}_.][\p{L}\p{N}_.  　-]{0,40}"
 _FILL = r"insert|enter|fill|add|your|replace|todo|choose|select|ins[eé]r|inser|inclu|rellen|complet|compl[eé]t|à compl|preench|remplir|rempl|einfüg|eintrag|hier|указ|встав|введ|запол|填|输入|入力|記入|插入|here|aqu[ií]|ici"
@@ -58,20 +68,26 @@ PLACEHOLDERS = [
 _CODE = r"(?s)```.*?(?:```|\z)|``[^`]*``|`[^`\n]*`"
 #: Fenced code without its language.
 _FENCE = r"(?s)```[\w+-]*(.*?)(?:```|\z)"
-_SPLIT = r"[\r\n\u2028\u2029\u0085\x0b\x0c]+|(?<=[.!?…]) +|(?<=[。！？])| [|·•»›] "
 #: Characters that are dropped (soft hyphen, zero-width ones, byte order mark) and blanks that become a plain one, as character maps: far cheaper than patterns.
-_DROPPED = "\u00ad\ufeff\u200b\u200c\u200d\u2060"
-_BLANKS = "\t\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+_DROPPED = "­﻿​‌‍⁠"
+_BLANKS = "\t              　"
+#: Accents are taken off, so that composed and decomposed letters are alike; the same is done to the lists.
+_ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿёй"
+_BASE = "aaaaaaceeeeiiiinooooouuuuyyеи"
+_COMBINING = "".join(map(chr, range(0x300, 0x370)))
+#: Line ends and ends of sentences and fields within a line; the latter leave a mark, as only a whole line can be a title.
+_LINES, _MARK = "\r\x0b\x0c\u0085  ", "\x01"
+_BREAKS = r"(?<=[.!?…]) +(?=[^\n])|(?<=[。！？])(?=[^\n])| [|·•»›] |\" ?: ?|, ?\""
+#: Numbers with their units, and identifiers.
+_NUMBERS = r"(?<![a-z\d])[a-z]*+(?:\d|[-_][a-z\d])(?:[a-z\d.,:%/+_-]*[a-z\d%])?(?: +(?:ms|s|min|h)(?![a-z]))?"
 
 
-def _any(patterns: list[str]) -> str:
-    return "(?U)^(?:" + "|".join(f"(?:{p})" for p in patterns) + ")"
+def _whole(patterns: list[str]) -> str:
+    return "^(?:" + "|".join(f"(?:{p})" for p in patterns).translate(str.maketrans(_ACCENTED, _BASE)) + ")$"
 
 
-_MESSAGE = _any([*lexicon.SCRIPT, *lexicon.ERROR, *lexicon.FILLER])
-_FRAME = _any(lexicon.FRAME)
-#: A cheap test before the words are counted: one of the first three words is from the list.
-_LATIN = "^(?:[a-z]+[^a-z]+){0,2}(?:" + "|".join(dict.fromkeys(lexicon.LATIN)) + ")(?![a-z])"
+_MESSAGE = _whole([*lexicon.SCRIPT, *lexicon.ERROR, *lexicon.FILLER])
+_FRAME = _whole(lexicon.FRAME)
 
 
 def _plain(text: Column) -> Column:
@@ -86,48 +102,42 @@ def has_placeholder(text: Column) -> Column:
 
 
 def segments(text: Column) -> Column:
-    """Lower-cased sentences and lines of a text without tags, leading punctuation and empty ones."""
-    flat = F.lower(_plain(text))
-    flat = F.when(flat.contains("<"), F.regexp_replace(flat, r"</?[a-z!][^<>\n]{0,60}>", "\n")).otherwise(flat)
-    flat = F.when(flat.contains("  "), F.regexp_replace(flat, " {2,}", " ")).otherwise(flat)
-    parts = F.transform(F.split(flat, _SPLIT), lambda s: F.rtrim(F.regexp_replace(s, r"^[^\p{L}\p{N}]+", "")))
-    return F.filter(parts, lambda s: s != "")
-
-
-def _is_latin(s: Column) -> Column:
-    words = F.split(s, "[^a-z]+")
-    known = F.array(*[F.lit(w) for w in dict.fromkeys(lexicon.LATIN)])
-    return (F.size(words) >= 3) & (F.size(F.filter(words, lambda w: F.array_contains(known, w))) >= F.size(words) * 0.6)
+    """Normalised sentences and lines of a text, in order: lower case, without tags and punctuation, numbers and names as ``0``, one blank between words.
 
-
-def is_message(s: Column) -> Column:
-    """Whether a segment is a known error message, script notice or filler."""
-    return s.rlike(_MESSAGE) | (s.rlike(_LATIN) & _is_latin(s))
+    Segments that end within a line have a mark at their end. Those without two letters in a row are left out.
+    """
+    flat = F.translate(F.lower(_plain(text)), _LINES + _ACCENTED + _COMBINING, "\n" * len(_LINES) + _BASE)
+    flat = F.when(flat.contains("<"), F.regexp_replace(flat, r"</?[a-z!][^<>\n]{0,60}>", "\n")).otherwise(flat)
+    flat = F.regexp_replace(flat, _NUMBERS, "0")
+    flat = F.regexp_replace(flat, _BREAKS, _MARK + "\n")
+    flat = F.regexp_replace(flat, rf"[^\p{{L}}\p{{N}}\n{_MARK}]+", " ")
+    return F.filter(F.transform(F.split(flat, "\n"), lambda s: F.trim(s)), lambda s: s.rlike(r"\p{L}{2}"))
 
 
-def _is_stray(s: Column) -> Column:
-    return s.rlike(r"(?U)^\S{30,}$") | ~s.rlike(r"\p{L}{2}")
+def _unmarked(s: Column) -> Column:
+    return F.rtrim(F.translate(s, _MARK, ""))
 
 
-def _title(segs: Column) -> Column:
-    """The first segment after the page frame."""
-    first, rest = (F.try_element_at(F.filter(part, lambda s: ~s.rlike(_FRAME)), F.lit(1)) for part in (F.slice(segs, 1, FRAME_SEGMENTS), segs))
-    return F.coalesce(first, rest, F.lit(""))
+def _is_frame(s: Column) -> Column:
+    return (F.length(s) <= 80) & _unmarked(s).rlike(_FRAME)
 
 
-def _tail(segs: Column) -> Column:
-    """The last segment if it is short enough for stray characters, else nothing."""
-    last = F.coalesce(F.try_element_at(segs, F.lit(-1)), F.lit(""))
-    return F.when(F.length(last) <= TAIL_CHARS, last).otherwise("")
+def is_message(s: Column) -> Column:
+    """Whether a normalised segment is, from end to end, a listed error message, script notice or filler."""
+    words = F.split(s, " ")
+    known = F.array(*[F.lit(w) for w in dict.fromkeys(lexicon.LATIN)])
+    own = F.array_distinct(words)
+    latin = (F.size(own) >= 3) & (F.size(F.array_intersect(own, known)) >= F.size(own) * 0.6)
+    return s.rlike(_MESSAGE) | latin
 
 
-def _masked(s: Column) -> Column:
-    """A segment without its numbers and names: what copies of one message have in common."""
-    return F.regexp_replace(F.regexp_replace(s, r"(?U)\b[a-z]+[-_][a-z]+\b|\b\w*\d[\w.,:-]*", "0"), r"(?U)\W+", " ")
+def _identity(s: Column) -> Column:
+    """The hash of a segment's distinct words, so that one phrase said over and over is that phrase."""
+    return F.xxhash64(F.array_distinct(F.split(s, " ")))
 
 
 def _terms(c: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"(?U)[\W\d_]+"), lambda w: F.length(w) > 3)
+    return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}]+"), lambda w: F.length(w) > 3)
 
 
 def _once(df: DataFrame) -> DataFrame:
@@ -135,95 +145,94 @@ def _once(df: DataFrame) -> DataFrame:
     return df.select(F.explode(F.array(F.struct(*df.columns))).alias("__row")).select("__row.*")
 
 
-def _compared(docs: DataFrame) -> DataFrame:
-    """Every segment that may tell, once a record: row, doc_id, tenant, n (segments outside of code), kind, code, own, place, m.
+def _records(docs: DataFrame) -> DataFrame:
+    """One row per record with a body: row, doc_id, tenant, place, c (segments of the body), body.
 
-    Kinds: 0 known message, 2 a last segment that may be stray characters, 3 unknown, 4 title; page frame and stray segments are left out.
-    Lines of fenced code are segments with ``code``: they can be what is left of a record, but aren't evidence. ``own``: shares a term with
-    title or address. ``m`` is the hash of the masked segment, ``place`` that of title and masked address.
+    ``body``: each distinct segment once, with its text ``s``, identity ``m``, whether it stands in fenced code (``code``), shares a term with title
+    or slug (``own``), ends the record (``last``), or is its title and not counted (``title``). Segments in code are part of what is left of a record, but no evidence.
     """
     fenced = F.col("text").contains("```")
     outside = F.when(fenced, F.regexp_replace("text", _FENCE, "\n")).otherwise(F.col("text"))
     inside = F.when(fenced, segments(F.array_join(F.regexp_extract_all("text", F.lit(_FENCE), F.lit(1)), "\n"))).otherwise(F.array().cast("array<string>"))
-    rows = _once(docs.select("doc_id", "path", "tenant", segments(outside).alias("segs"), inside.alias("inside")).withColumn("row", F.monotonically_increasing_id()))
-    rows = rows.where("size(segs) > 0")
-    rows = _once(_once(rows).withColumn("title", _title(F.col("segs"))).withColumn("tail", _tail(F.col("segs"))).withColumn("n", F.size("segs")))
-    texts = F.transform(F.array_distinct("segs"), lambda s: F.struct(s.alias("s"), F.lit(False).alias("code")))
-    parts = F.concat(texts, F.transform(F.array_distinct("inside"), lambda s: F.struct(s.alias("s"), F.lit(True).alias("code"))))
-    each = rows.select("row", "doc_id", "tenant", "path", "title", "tail", "n", F.explode(parts).alias("p")).select("*", "p.s", "p.code").drop("p")
-    s, outer = F.col("s"), ~F.col("code")
-    kind = (
-        F.when(is_message(s), 0)
-        .when(outer & (F.col("n") > 1) & (s == F.col("title")) & (F.length(s) <= TITLE_CHARS), 4)
-        .when(s.rlike(_FRAME) | _is_stray(s) | (outer & (s == F.col("tail")) & (F.length(s) <= 12)), 1)
-        .when(outer & (s == F.col("tail")), 2)
-        .otherwise(3)
-    )
-    each = _once(each.withColumn("kind", kind)).where("kind != 1")
-    headed = F.when(F.col("n") > 1, F.col("title"))
-    own = F.size(F.array_intersect(_terms(s), _terms(F.concat_ws(" ", headed, F.col("path"))))) > 0
-    place = F.xxhash64(headed, _masked(F.lower("path")))
-    return each.select("row", "doc_id", "tenant", "n", "kind", "code", F.when(F.col("kind") >= 2, own).otherwise(False).alias("own"), place.alias("place"), F.when(F.col("kind") >= 2, F.xxhash64(_masked(s))).alias("m"))
-
-
-def _records(each: DataFrame) -> DataFrame:
-    """One row per record: known messages outside of code, unknown segments without (open) and with the tail, whether one is its own, and ms, the masked segments."""
-    unknown = F.col("kind").isin(2, 3)
-    return each.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"),
-        F.first("tenant").alias("tenant"),
-        F.first("n").alias("n"),
-        F.first("place").alias("place"),
-        F.count_if((F.col("kind") == 0) & ~F.col("code")).alias("known"),
-        F.count_if(F.col("kind") == 3).alias("open"),
-        F.coalesce(F.bool_or(F.col("own") & unknown), F.lit(False)).alias("any_own"),
-        F.collect_set(F.when(F.col("m").isNotNull(), F.struct("m", "own", unknown.alias("unknown")))).alias("ms"),
-    )
-
-
-def _learned(each: DataFrame) -> DataFrame:
-    """Masked segments learned as messages, of records of any length, from all their occurrences in ``each``: a row per record and masked segment.
-
-    Either a segment stands beside known messages, or, whatever the lists say, nearly all its records are short and most say nothing about
-    their own title and address, over many hosts and places. There, records that it heads count too, but some must hold it below a title.
-    """
-    seen = each.groupBy("m").agg(
-        F.count(F.lit(1)).alias("records"),
-        F.count_if("beside").alias("beside"),
-        F.count_distinct(F.when(F.col("beside"), F.col("tenant"))).alias("beside_hosts"),
-        F.count_if("unknown").alias("below"),
-        F.count_if("short").alias("short"),
-        F.count_if("apart").alias("apart"),
-        F.count_distinct(F.when(F.col("apart"), F.col("tenant"))).alias("apart_hosts"),
-        F.count_distinct(F.when(F.col("apart"), F.col("place"))).alias("places"),
-    )
-    beside = (F.col("beside") >= LEARN_RECORDS) & (F.col("beside_hosts") >= LEARN_HOSTS) & (F.col("beside") >= F.col("records") * LEARN_SHARE)
-    wide = (F.col("records") >= APART_RECORDS) & (F.col("below") >= LEARN_RECORDS) & (F.col("apart_hosts") >= APART_HOSTS) & (F.col("places") >= APART_HOSTS)
-    apart = wide & (F.col("short") >= F.col("records") * SHORT_SHARE) & (F.col("apart") >= F.col("records") * APART_SHARE)
-    return seen.where(beside | apart).select("m")
+    rows = docs.select("doc_id", "tenant", F.lower("path").alias("path"), segments(outside).alias("segs"), inside.alias("inside")).withColumn("row", F.monotonically_increasing_id())
+    rows = _once(_once(rows).withColumn("segs", F.filter("segs", lambda s: ~_is_frame(s))).withColumn("end", F.element_at(F.concat(F.array(F.lit("")), "segs"), -1)))
+    first = F.coalesce(F.get("segs", F.lit(0)), F.lit(""))
+    titled = (F.size(F.array_distinct("segs")) > 1) & ~first.contains(_MARK) & (F.length(first) <= TITLE_CHARS)
+    rows = _once(rows.withColumn("title", F.when(titled, first))).withColumn("end", _unmarked(F.col("end")))
+    rest = F.array_distinct(F.transform(F.filter("segs", lambda s: ~s.eqNullSafe(F.col("title"))), _unmarked))
+    code = F.array_except(F.array_distinct(F.transform("inside", _unmarked)), "rest")
+    terms = F.array_distinct(_terms(F.concat_ws(" ", "title", "path")))
+    rows = _once(_once(rows.withColumn("rest", rest)).withColumn("code", code).withColumn("terms", terms)).withColumn("c", F.size("rest") + F.size("code")).where("c > 0")
+    outer = F.transform("rest", lambda s: F.struct(s.alias("s"), _identity(s).alias("m"), F.lit(False).alias("code"), F.arrays_overlap(F.split(s, " "), "terms").alias("own"), (s == F.col("end")).alias("last"), F.lit(False).alias("title")))
+    inner = F.transform("code", lambda s: F.struct(s.alias("s"), _identity(s).alias("m"), F.lit(True).alias("code"), F.lit(False).alias("own"), F.lit(False).alias("last"), F.lit(False).alias("title")))
+    place = F.xxhash64("title", F.regexp_replace("path", _NUMBERS, "0"))
+    title = F.struct(F.col("title").alias("s"), _identity(F.col("title")).alias("m"), F.lit(False).alias("code"), F.lit(False).alias("own"), F.lit(False).alias("last"), F.lit(True).alias("title"))
+    head = F.when(F.col("title").isNotNull(), F.array(title))
+    return rows.select("row", "doc_id", "tenant", place.alias("place"), "c", F.coalesce(F.concat(outer, inner, head), F.concat(outer, inner)).alias("body"))
+
+
+def _groups(records: DataFrame) -> DataFrame:
+    """One row per distinct segment of the corpus outside of code: its statistics over all records, the list's verdict, whether it may be stray."""
+    each = records.select("tenant", "place", "c", F.explode("body").alias("p")).where("not p.code").select("tenant", "place", "c", "p.m", "p.s", "p.own", "p.last", "p.title")
+    below = ~F.col("title")
+    several = lambda c: F.coalesce(F.min(c) != F.max(c), F.lit(False))
+    g = each.groupBy("m").agg(
+        F.min("s").alias("s"), F.count_if(below).alias("n"), F.sum(F.when(below, 1 / F.col("c"))).alias("part"), F.count_if(below & (F.col("c") > LONG)).alias("long"), F.count_if(below & ~F.col("own")).alias("mismatched"),
+        F.count_if("last").alias("ends"), several(F.when(below, F.col("tenant"))).alias("hosts"), several(F.when(below, F.col("place"))).alias("places"),
+    )
+    repeated = (F.col("n") >= LEAST) & F.col("hosts") & F.col("places")
+    mismatched = F.col("mismatched") >= F.col("n") * MISMATCH_SHARE
+    learned = repeated & mismatched & (F.col("part") >= (F.col("n") + PRIOR) * PART) & (F.col("long") <= F.col("n") * LONG_SHARE)
+    stray = (F.length("s") <= STRAY_CHARS) | (repeated & (F.col("ends") >= F.col("n") * LAST_SHARE))
+    return g.select("m", "n", mismatched.alias("mismatched"), learned.alias("learned"), stray.alias("stray"), is_message(F.col("s")).alias("listed"))
+
+
+def _hits(records: DataFrame, marks: DataFrame) -> DataFrame:
+    """Records that hold a message outside of code, as title too: row, doc_id, tenant, c, ms (their messages), known and code (messages outside and in code), learned (of the former), loose (a last segment that may be stray), headed (the title is a message)."""
+    each = records.select("row", "doc_id", "tenant", "c", F.explode("body").alias("p")).select("row", "doc_id", "tenant", "c", "p.m", "p.code", "p.last", "p.title")
+    hit = lookup_join(each, marks, ["m"], ["row"], "inner")
+    told, below = (F.col("kind") > 0) & ~F.col("code"), ~F.col("title")
+    out = hit.groupBy("row").agg(
+        F.first("doc_id").alias("doc_id"), F.first("tenant").alias("tenant"), F.first("c").alias("c"), F.collect_set(F.when((F.col("kind") > 0) & below, F.col("m"))).alias("ms"),
+        F.count_if(told & below).alias("known"), F.count_if((F.col("kind") > 0) & F.col("code")).alias("code"), F.count_if(told & (F.col("kind") > 1)).alias("learned"),
+        F.count_if((F.col("kind") == 0) & F.col("last") & ~F.col("code")).alias("loose"), F.count_if(told & F.col("title")).alias("headed"),
+    )
+    return out.where("known + headed > 0")
+
+
+def _beside(records: DataFrame, hits: DataFrame, marks: DataFrame, groups: DataFrame) -> DataFrame:
+    """Mismatched segments that are no message yet and mostly stand beside messages, in responses of several hosts."""
+    each = hits.select("row", "ms").join(records.select("row", "tenant", "body"), "row").select("tenant", "ms", F.explode("body").alias("p")).where("not p.code and not p.title and not array_contains(ms, p.m)")
+    several = F.coalesce(F.min("tenant") != F.max("tenant"), F.lit(False))
+    near = each.groupBy("p.m").agg(F.count(F.lit(1)).alias("beside"), several.alias("hosts")).where(F.col("hosts") & (F.col("beside") >= LEAST))
+    found = near.join(groups.select("m", "n", "mismatched"), "m").where(F.col("mismatched") & (F.col("beside") >= F.col("n") * BESIDE_SHARE))
+    return found.select("m", F.lit(2).alias("kind"))
+
+
+def _marks(records: DataFrame) -> DataFrame:
+    """Segments that tell: m, kind (2 learned message, 1 listed message, 0 may be stray at the end)."""
+    groups = materialise(_groups(records), "segments")
+    kind = F.when(F.col("learned"), 2).when(F.col("listed"), 1).when(F.col("stray"), 0)
+    marks = groups.where("learned or listed or stray").select("m", kind.alias("kind"))
+    for _ in range(LOOKS):
+        messages = materialise(marks, "messages")
+        more = _beside(records, _hits(records, messages.where("kind > 0")), messages, groups)
+        # a segment that was stray before is a message now
+        marks = messages.unionAll(more).groupBy("m").agg(F.max("kind").alias("kind"))
+    return materialise(marks, "messages")
 
 
 def find_residue(docs: DataFrame) -> DataFrame:
-    """doc_id and the evidence of every residue record: placeholder, message (known ones only) or learned.
+    """doc_id and the evidence of every residue record: placeholder, learned (some message of the body was learned) or message (all are of the lists only).
 
     ``docs`` has doc_id, text, path, tenant; other columns are ignored. Null, empty and blank texts are not residue. Null paths and
     tenants lack their evidence. A record may have two kinds of evidence; repeated rows give repeated results.
     """
-    records = materialise(_records(_compared(docs)), "records")
-    message = (F.col("known") > 0) & (F.col("open") == 0)
+    records = materialise(_records(docs), "records")
+    hits = _hits(records, _marks(records))
+    whole = hits.where(F.col("known") + F.col("code") + F.col("loose") == F.col("c"))
     known = docs.where(has_placeholder(F.col("text"))).select("doc_id", F.lit("placeholder").alias("evidence"))
-    known = known.unionAll(records.where(message).select("doc_id", F.lit("message").alias("evidence")))
-    each = records.select("row", "tenant", "n", "place", "known", "any_own", F.explode("ms").alias("p")).select("*", "p.*").drop("p")
-    each = each.groupBy("m", "row").agg(*[F.first(c).alias(c) for c in ("tenant", "n", "place", "known", "any_own")], F.bool_or("own").alias("own"), F.bool_or("unknown").alias("unknown"))
-    beside = F.col("unknown") & ~F.col("own") & (F.col("known") > 0)
-    short = F.col("n") <= LOW_SEGMENTS
-    each = each.select("m", "tenant", "place", "unknown", beside.alias("beside"), short.alias("short"), (short & ~F.col("any_own")).alias("apart"))
-    learned = materialise(_learned(each), "learned")
-    if learned.isEmpty():
-        return known
-    left = records.where(~message).select("row", "doc_id", F.explode(F.array_distinct(F.transform(F.filter("ms", lambda x: x["unknown"]), lambda x: x["m"]))).alias("m"))
-    votes = left.join(learned.withColumn("hit", F.lit(True)), "m", "left").groupBy("row", "doc_id").agg(F.count_if(F.col("hit").isNull()).alias("open"))
-    return known.unionAll(votes.where("open = 0").select("doc_id", F.lit("learned").alias("evidence")))
+    return known.unionAll(whole.select("doc_id", F.when(F.col("learned") > 0, "learned").otherwise("message").alias("evidence")))
 
 
 def without_residue(docs: DataFrame) -> DataFrame:
