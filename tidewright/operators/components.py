@@ -13,14 +13,14 @@ MAX_ROUNDS = 60
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionAll(edges.select(F.col("m").alias("u"), F.col("u").alias("m")))
-    least = both.groupBy("u").agg(F.min("m").alias("low"))
-    joined = fragment_join(both, least, ["u"], ["m"], "inner")
+    least = both.groupBy("u").agg(F.min("m").alias("low"), F.count(F.lit(1)).alias("__tw_load"))
+    joined = fragment_join(both, least.drop("__tw_load"), ["u"], ["m"], "inner", loads=least)
     return joined.where(F.col("m") > F.col("u")).select(F.col("m").alias("u"), F.least("low", "u").alias("m"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("m").alias("low"))
-    joined = fragment_join(edges, least, ["u"], ["m"], "inner")
+    least = edges.groupBy("u").agg(F.min("m").alias("low"), F.count(F.lit(1)).alias("__tw_load"))
+    joined = fragment_join(edges, least.drop("__tw_load"), ["u"], ["m"], "inner", loads=least)
     moved = joined.where(F.col("m") != F.col("low")).select(F.col("m").alias("u"), F.col("low").alias("m"))
     return moved.unionAll(least.select("u", F.col("low").alias("m")))
 

@@ -1,9 +1,10 @@
 """Per-key work when a few keys hold most rows: fragment and replicate by estimated load.
 
-The load of every key is counted with a map-side combined aggregate. Keys above a task's fair share ("heavy") are split
-into shards in proportion to their load; all fragments are bin-packed onto tasks, longest first. There are at most
-``SPLIT * tasks`` heavy keys whatever the data, so the plan is small enough for the driver by construction; all other keys
-are far below a task's share and go to the bins by hash. A matching side is replicated only to the shards of heavy keys.
+The load of every key is estimated from a sample of bounded size (or taken from counts that the caller has). Keys above a task's fair
+share ("heavy") are split into shards in proportion to their load; all fragments are bin-packed onto tasks, longest first, and
+rows are moved to exactly the task that the plan gives their fragment. There are at most ``SPLIT * tasks`` heavy keys whatever the
+data, so the plan is small enough for the driver by construction; all other keys are far below a task's share and go to
+the bins by hash. A matching side is replicated only to the shards of heavy keys. The estimate decides where rows go, never which.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ from tidewright.session import materialise, parallelism
 
 #: A key is heavy above 1/SPLIT of a task's fair share; light keys share SPLIT hash bins per task.
 SPLIT = 4
-#: A matching side of at most so many rows is broadcast; a larger one is fragment-replicated. It is counted first.
-BROADCAST_ROWS = 200_000
+#: A matching side of at most so many rows and bytes is broadcast; a larger one is fragment-replicated. It is measured first.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 * 2**20
+#: Rows that loads are estimated from, about; tables that seem smaller are counted whole.
+SAMPLE_ROWS = 1_000_000
 
 _SHARD, _TASK, _SHARDS = "__tw_shard", "__tw_task", "__tw_shards"
 
@@ -50,16 +53,23 @@ class LoadPlan:
         return out
 
 
+def sampled(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """About ``rows`` rows of ``df``, all if it has no more: a Bernoulli sample with a fixed seed. Counting the rows of files reads only their footers."""
+    rows = SAMPLE_ROWS if rows is None else rows
+    n = df.count()
+    return df if n <= rows else df.sample(False, rows / n, 1)
+
+
 def plan_loads(df: DataFrame, keys: Sequence[str], tasks: int | None = None, loads: DataFrame | None = None) -> LoadPlan:
-    """Count the load of each key of ``df`` and plan its fragments. Null is a key of its own; an empty ``df`` gives an empty plan.
+    """Estimate the load of each key of ``df`` and plan its fragments. Null is a key of its own; an empty ``df`` gives an empty plan.
 
-    One job: the counts are combined before the shuffle and only the ``SPLIT * tasks`` largest reach the driver. Who has the counts already
-    (keys and ``__tw_load``, one row per key) passes them as ``loads``.
+    One job: the sample's counts are combined before the shuffle and only the ``SPLIT * tasks`` largest reach the driver. Who has the counts already
+    (keys and ``__tw_load``, one row per key) passes them as ``loads``. Loads are in rows of the sample; only their proportions matter.
     """
     tasks = tasks or parallelism(df.sparkSession)
     seen = Observation()
     if loads is None:
-        loads = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__tw_load"))
+        loads = sampled(df.select(*keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("__tw_load"))
     loads = loads.select(*keys, "__tw_load").observe(seen, F.sum("__tw_load").alias("total"))
     top = loads.orderBy(F.desc("__tw_load")).limit(SPLIT * tasks).collect()
     total = (seen.get["total"] or 0) if top else 0
@@ -97,11 +107,16 @@ def _same(df: DataFrame, other: DataFrame, keys: Sequence[str], prefix: str = "_
     return cond
 
 
+def _light_task(plan: LoadPlan, columns: Sequence[str]) -> Column:
+    """The task of a light key: that of its hash's bin."""
+    light = F.pmod(F.xxhash64(*columns), F.lit(len(plan.bins))).cast("int")
+    # one literal that is folded into an array once, however many bins there are
+    return F.element_at(F.split(F.lit(",".join(map(str, plan.bins))), ",").cast("array<int>"), light + 1)
+
+
 def with_fragment(df: DataFrame, plan: LoadPlan, spread: Sequence[str]) -> DataFrame:
     """``df`` with ``__tw_shard`` (of the row's key) and ``__tw_task``. ``spread``: columns whose hash picks a heavy key's shard."""
-    light = F.pmod(F.xxhash64(*plan.keys), F.lit(len(plan.bins))).cast("int")
-    # one literal that is folded into an array once, however many bins there are
-    bins = F.element_at(F.split(F.lit(",".join(map(str, plan.bins))), ",").cast("array<int>"), light + 1)
+    bins = _light_task(plan, plan.keys)
     if not plan.heavy:
         return df.withColumns({_SHARD: F.lit(0), _TASK: bins})
     heavy = _heavy_table(df, plan)
@@ -119,33 +134,44 @@ def place(df: DataFrame, plan: LoadPlan, spread: Sequence[str]) -> DataFrame:
 def fragment_join(left: DataFrame, right: DataFrame, on: Sequence[str], spread: Sequence[str], how: str = "left", tasks: int | None = None, loads: DataFrame | None = None) -> DataFrame:
     """Join on null-safe equal keys ``on``; a heavy key's left rows are spread over its shards, its right rows copied there.
 
-    ``how`` is inner, left, left_semi or left_anti. Other clashing column names must be renamed before. Result columns: those of left, then right's
-    without ``on``.
+    Both sides are moved to the planned tasks, and the join needs no other exchange. ``how`` is inner, left, left_semi or left_anti. Other
+    clashing column names must be renamed before. Result columns: those of left, then right's without ``on``.
     """
     plan = plan_loads(left, on, tasks, loads)
-    other = right.select([F.col(c).alias("__tw_r_" + c) if c in on else F.col(c) for c in right.columns])
-    a = with_fragment(left, plan, spread).drop(_TASK)
+    # the keys' hashes must agree, so the right side's have the left's types
+    other = right.select([F.col(c).cast(left.schema[c].dataType).alias("__tw_r_" + c) if c in on else F.col(c) for c in right.columns])
+    a = place(left, plan, spread)
+    light = _light_task(plan, ["__tw_r_" + c for c in on])
     if plan.heavy:
         heavy = _heavy_table(left, plan)
         cond = F.lit(True)
         for k in on:
             cond = cond & other["__tw_r_" + k].eqNullSafe(heavy["__tw_h_" + k])
-        other = other.join(F.broadcast(heavy), cond, "left").withColumn("__tw_copy", F.explode(F.sequence(F.lit(0), F.coalesce(F.col(_SHARDS), F.lit(1)) - 1))).drop(*heavy.columns)
+        copies = F.coalesce(F.transform("__tw_tasks", lambda t, i: F.struct(i.alias("copy"), t.alias("to"))), F.array(F.struct(F.lit(0).alias("copy"), light.alias("to"))))
+        other = other.join(F.broadcast(heavy), cond, "left").withColumn("__tw_c", F.explode(copies)).drop(*heavy.columns)
+        other = other.select("*", F.col("__tw_c.copy").alias("__tw_copy"), F.col("__tw_c.to").alias("__tw_to")).drop("__tw_c")
     else:
-        other = other.withColumn("__tw_copy", F.lit(0))
-    cond = a[_SHARD] == other["__tw_copy"]
+        other = other.withColumns({"__tw_copy": F.lit(0), "__tw_to": light})
+    other = other.repartitionById(plan.tasks, F.col("__tw_to"))
+    cond = (a[_TASK] == other["__tw_to"]) & (a[_SHARD] == other["__tw_copy"])
     for k in on:
         cond = cond & a[k].eqNullSafe(other["__tw_r_" + k])
-    return a.join(other, cond, how).drop(_SHARD, "__tw_copy", *["__tw_r_" + k for k in on])
+    return a.join(other, cond, how).drop(_TASK, _SHARD, "__tw_copy", "__tw_to", *["__tw_r_" + k for k in on])
+
+
+def is_small(df: DataFrame, rows: int | None = None) -> bool:
+    """Whether ``df`` has at most so many rows (BROADCAST_ROWS) and no more than BROADCAST_BYTES of content, measured up to the bound only."""
+    bound = BROADCAST_ROWS if rows is None else rows
+    n, size = df.limit(bound + 1).select(F.octet_length(F.to_json(F.struct(*df.columns))).alias("b")).agg(F.count(F.lit(1)), F.sum("b")).first()
+    return n <= bound and (size or 0) <= BROADCAST_BYTES
 
 
 def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], spread: Sequence[str], how: str = "left", broadcast_rows: int | None = None, loads: DataFrame | None = None) -> DataFrame:
-    """``fragment_join`` whose right side is broadcast if it was counted to have at most ``broadcast_rows`` rows.
+    """``fragment_join`` whose right side is broadcast if it was measured to be small (is_small()).
 
-    ``right`` is counted up to the bound only; pass it materialised if it is costly to compute.
+    ``right`` is read up to the bound only; pass it materialised if it is costly to compute.
     """
-    bound = BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
-    if right.limit(bound + 1).count() > bound:
+    if not is_small(right, broadcast_rows):
         return fragment_join(left, right, on, spread, how, loads=loads)
     other = right.select([F.col(c).alias("__tw_r_" + c) if c in on else F.col(c) for c in right.columns])
     cond = F.lit(True)
@@ -164,15 +190,21 @@ _PARTIAL = {
 }
 
 
-def per_key(df: DataFrame, keys: Sequence[str], aggs: dict[str, tuple[str, str | None]], spread: Sequence[str], plan: LoadPlan | None = None) -> DataFrame:
+def per_key(df: DataFrame, keys: Sequence[str], aggs: dict[str, tuple[str, str | None]], spread: Sequence[str] = (), fan_in: int = 4) -> DataFrame:
     """Results per key: ``aggs`` maps a result column to (rows | count | sum | min | max, column).
 
-    Each fragment is aggregated by itself (and before that by each map task), then a key's few fragments are merged. Null keys
-    are kept as keys; an empty table gives no row; extra columns are ignored.
+    The table is read once: each range of ``fan_in`` neighbouring splits is aggregated by itself, combined on the map side. What is
+    moved then, the partial results, is counted per key and planned: a key that stands in many splits has its partials spread over shards,
+    every fragment is merged on the task that the plan gives it, and a key's few shards are merged last. ``spread``, columns that vary within a key, is no longer
+    needed, as splits vary. Null keys are kept as keys; an empty table gives no row; extra columns are ignored.
     """
-    plan = plan or plan_loads(df, keys)
-    parts = with_fragment(df, plan, spread).groupBy(*keys, _TASK, _SHARD).agg(*[_PARTIAL[kind][0](col).alias(name) for name, (kind, col) in aggs.items()])
-    return parts.groupBy(*keys).agg(*[_PARTIAL[kind][1](name).alias(name) for name, (kind, _) in aggs.items()])
+    chunk = F.floor(F.spark_partition_id() / fan_in).alias("__tw_chunk")
+    parts = df.withColumn("__tw_chunk", chunk).groupBy(*keys, "__tw_chunk").agg(*[_PARTIAL[kind][0](col).alias(name) for name, (kind, col) in aggs.items()])
+    parts = materialise(parts, "partials")
+    plan = plan_loads(parts, keys, loads=parts.groupBy(*keys).agg(F.count(F.lit(1)).alias("__tw_load")))
+    merge = [_PARTIAL[kind][1](name).alias(name) for name, (kind, _) in aggs.items()]
+    shards = place(parts, plan, ["__tw_chunk"]).groupBy(_TASK, _SHARD, *keys).agg(*merge)
+    return shards.groupBy(*keys).agg(*merge)
 
 
 def heavy_keys(tables: dict[str, DataFrame], fields: Sequence[str], share: float) -> DataFrame:
@@ -184,10 +216,9 @@ def heavy_keys(tables: dict[str, DataFrame], fields: Sequence[str], share: float
     rows = None
     for name, df in tables.items():
         pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("key_value")) for f in fields])
-        # what spreads a heavy key need not be unique, only varied; it must not change when a task is run again
-        part = df.select(F.lit(name).alias("table_name"), F.inline(pairs), F.col(_spreading(df, fields)).cast("string").alias("__tw_spread"))
+        part = df.select(F.lit(name).alias("table_name"), F.inline(pairs))
         rows = part if rows is None else rows.unionAll(part)
-    counts = per_key(rows, ["table_name", "field", "key_value"], {"n_rows": ("rows", None)}, ["__tw_spread"])
+    counts = per_key(rows, ["table_name", "field", "key_value"], {"n_rows": ("rows", None)})
     counts = materialise(counts, "per-key")
     totals = counts.groupBy(F.col("table_name").alias("t"), F.col("field").alias("f")).agg(F.sum("n_rows").alias("of_rows"))
     # one row for each table and field

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.operators.ranges import overlapping, subtract_ranges, union_ranges
+from tidewright.operators.ranges import covered_count, overlapping, subtract_ranges, union_ranges
 from tidewright.session import materialise
 
 PO = ["partition", "origin"]
@@ -40,20 +40,13 @@ def advance(manifests: DataFrame, losses: DataFrame | None = None) -> DataFrame:
     lost = None if losses is None else materialise(union_ranges(losses.select(*PO, "first_seq", "last_seq"), PO), "losses")
     r = _ranges(dense).withColumn("len", F.col("last_seq") - F.col("first_seq") + 1)
     if lost is not None:
-        l = lost.select(F.col("partition").alias("lp"), F.col("origin").alias("lo"), F.col("first_seq").alias("lf"), F.col("last_seq").alias("ll"))
-        meets = (F.col("partition") == F.col("lp")) & (F.col("origin") == F.col("lo")) & (F.col("lf") <= F.col("last_seq")) & (F.col("ll") >= F.col("first_seq"))
-        # least() and greatest() skip nulls, so ranges without a loss are kept out first
-        common = F.when(F.col("lf").isNotNull(), F.greatest(F.least("last_seq", "ll") - F.greatest("first_seq", "lf") + 1, F.lit(0)))
-        r = r.join(l, meets, "left").groupBy(*PO, "window_id", "first_seq", "last_seq", "len").agg(F.coalesce(F.sum(common), F.lit(0)).alias("in_loss"))
-        r = r.withColumn("len", F.col("len") - F.col("in_loss"))
+        # numbers of a range that are lost: those up to its end less those before its begin
+        r = covered_count(covered_count(r, F.col("last_seq"), lost, PO, "upto"), F.col("first_seq") - 1, lost, PO, "before")
+        r = r.withColumn("len", F.col("len") - F.col("upto") + F.col("before")).drop("upto", "before")
     at = r.groupBy(*PO, "window_id").agg(F.sum("len").alias("len"), F.max("last_seq").alias("top"))
     so_far = Window.partitionBy(*PO).orderBy("window_id").rowsBetween(Window.unboundedPreceding, 0)
     at = at.select(*PO, "window_id", F.sum("len").over(so_far).alias("have"), F.max("top").over(so_far).alias("top"))
-    if lost is not None:
-        below = F.greatest(F.least("top", "ll") - F.col("lf") + 1, F.lit(0))
-        at = at.join(l, (F.col("partition") == F.col("lp")) & (F.col("origin") == F.col("lo")), "left").groupBy(*PO, "window_id", "have", "top").agg(F.coalesce(F.sum(below), F.lit(0)).alias("lost"))
-    else:
-        at = at.withColumn("lost", F.lit(0))
+    at = at.withColumn("lost", F.lit(0)) if lost is None else covered_count(at, F.col("top"), lost, PO, "lost")
     dirty = at.withColumn("dirty", F.when(F.col("have") + F.col("lost") < F.col("top"), 1).otherwise(0))
     step = dirty.withColumn("step", F.col("dirty") - F.lag("dirty", 1, 0).over(Window.partitionBy(*PO).orderBy("window_id")))
     steps = step.groupBy("partition", "window_id").agg(F.sum("step").alias("step"))

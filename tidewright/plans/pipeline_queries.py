@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.operators.incremental import beyond_marks, committed_marks
+from tidewright.operators.incremental import IncrementalTarget, committed_marks
 from tidewright.operators.intervals import manifest_coverage
-from tidewright.operators.lateness import classify, past_cut_off, period_aggregates
+from tidewright.operators.lateness import classify, epoch_ms, ordered_aggregates, past_cut_off, period_aggregates
 from tidewright.operators.patches import changelog_state
-from tidewright.operators.redelivery import SeenStore, duplicates
-from tidewright.operators.skew import heavy_keys, per_key
+from tidewright.operators.redelivery import SeenStore, admit_in_batches, duplicates
+from tidewright.operators.skew import fragment_join, heavy_keys, per_key
 from tidewright.plans.registry import Registry, table
-from tidewright.session import scratch_path
+from tidewright.session import materialise, scratch_path
 
 R = Registry()
 
@@ -31,15 +31,19 @@ WITH RECURSIVE l AS (
 """
 
 
-def _admitted(spark: SparkSession, folder: str) -> DataFrame:
+#: Batches of the journal are admitted in so many groups, one after the other.
+P1_GROUPS = 3
+
+
+def _admitted(spark: SparkSession, folder: str) -> tuple[SeenStore, DataFrame]:
     store = SeenStore(spark, scratch_path(spark, "seen"))
-    return store.admit(table(spark, folder, "client_acks"), "all")
+    return store, admit_in_batches(store, table(spark, folder, "client_acks"), "batch_id", P1_GROUPS)
 
 
 @R.add("p1_found", _P1_LINKS + "SELECT min(y) AS kept_line_id, x AS line_id FROM reach GROUP BY x HAVING min(y) <> x")
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Repeated lines of requests beside the line that is kept."""
-    return duplicates(_admitted(spark, folder))
+    return duplicates(_admitted(spark, folder)[1])
 
 
 @R.add(
@@ -57,8 +61,7 @@ WHERE tenant IS NOT NULL AND first_index IS NOT NULL AND trim(source_incarnation
 )
 def p1_seen_bits(spark: SparkSession, folder: str) -> DataFrame:
     """Bits set in the bitmaps after the whole table was admitted ('all'), and the dictionary's identifiers by kind."""
-    store = SeenStore(spark, scratch_path(spark, "seen"))
-    store.admit(table(spark, folder, "client_acks"), "all")
+    store, _ = _admitted(spark, folder)
     kinds = store.dictionary().groupBy(F.when(F.col("rid").isNotNull(), "request").otherwise("record").alias("kind")).agg(F.count(F.lit(1)).alias("n_bits"))
     return kinds.unionAll(store.bitmaps().agg(F.lit("all").alias("kind"), F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0)).alias("n_bits")))
 
@@ -126,6 +129,24 @@ def p3_hourly(spark: SparkSession, folder: str) -> DataFrame:
     return period_aggregates(fates, ["partition", "origin", "seq"])
 
 
+@R.add(
+    "p3_ordered",
+    _P3_FATE.replace("observed_ts, (epoch_us(ts)", "observed_ts, severity_number, (epoch_us(ts)").replace("r.ts_ms, r.observed_ms,", "r.ts_ms, r.observed_ms, r.severity_number AS s,")
+    + """
+, g AS (SELECT *, ts_ms // 3600000 AS h FROM f WHERE NOT coalesce(release_ms <= observed_ms, false)),
+o AS (SELECT partition, h, ts_ms, release_ms IS NOT NULL AS released, ts_ms - lag(ts_ms) OVER w AS gap, s IS DISTINCT FROM lag(s) OVER w AS turn FROM g WINDOW w AS (PARTITION BY partition, h ORDER BY ts_ms, origin, seq))
+SELECT partition, h * 3600000 AS period_start_ms, count(*) AS n, count(*) FILTER (released) AS n_final, count(*) FILTER (turn AND gap IS NOT NULL) AS changes,
+  count(*) FILTER (turn AND gap IS NOT NULL AND released) AS changes_final, max(gap) AS longest_gap_ms, max(gap) FILTER (released) AS longest_gap_final_ms
+FROM o GROUP BY partition, h
+""",
+)
+def p3_ordered(spark: SparkSession, folder: str) -> DataFrame:
+    """Changes of severity and longest silence per partition and hour, in the order of release: final, and provisional with what is buffered."""
+    logs = table(spark, folder, "otlp_logs").select("partition", "origin", "seq", "ts", "observed_ts", "severity_number")
+    fates = classify(logs, table(spark, folder, "watermark_log"), F.col("ts"), F.col("observed_ts"))
+    return ordered_aggregates(fates, ["partition", "origin", "seq"], "severity_number")
+
+
 _P4 = """
 WITH r AS (
   SELECT dataset, partition, u.origin AS origin, u.first_seq AS f, u.last_seq AS l FROM (SELECT dataset, partition, unnest(origin_coverage) AS u FROM window_manifests)
@@ -145,18 +166,46 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return manifest_coverage(table(spark, folder, "window_manifests"))
 
 
-@R.add(
-    "p5_found",
-    """
-WITH m AS (SELECT partition, origin, max(applied_seq) AS applied FROM applied_log WHERE status = 'committed' AND applied_seq IS NOT NULL GROUP BY ALL)
-SELECT DISTINCT s.partition, s.origin, s.seq FROM otlp_logs s LEFT JOIN m ON m.partition IS NOT DISTINCT FROM s.partition AND m.origin IS NOT DISTINCT FROM s.origin
-WHERE m.applied IS NULL OR s.seq > m.applied
-""",
-)
-def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    """The records that the next run must take."""
+_P5 = """
+SELECT DISTINCT s.partition, s.origin, s.seq FROM otlp_logs s LEFT JOIN (SELECT partition, origin, max(applied_seq) AS applied FROM applied_log WHERE status = 'committed' AND applied_seq IS NOT NULL GROUP BY ALL) m
+ON m.partition IS NOT DISTINCT FROM s.partition AND m.origin IS NOT DISTINCT FROM s.origin WHERE m.applied IS NULL OR s.seq > m.applied
+"""
+
+
+def _target(spark: SparkSession, folder: str) -> tuple[IncrementalTarget, DataFrame]:
+    """A target that holds what the committed runs applied, and the source."""
     source = table(spark, folder, "otlp_logs").select("partition", "origin", "seq")
-    return beyond_marks(source, committed_marks(table(spark, folder, "applied_log"))).distinct()
+    target = IncrementalTarget(spark, scratch_path(spark, "target"), ["partition", "origin"], "seq", source.schema, every=True)
+    target.adopt(committed_marks(table(spark, folder, "applied_log")).withColumnRenamed("applied_seq", "seq"))
+    return target, source
+
+
+@R.add("p5_found", _P5)
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The records that the next run takes, as it published them."""
+    target, source = _target(spark, folder)
+    return target.published(target.run(source))
+
+
+def _lost(_: DataFrame) -> DataFrame:
+    raise RuntimeError("this run is lost before it publishes")
+
+
+@R.add("p5_runs", f"WITH p AS ({_P5}) SELECT 1 AS run, 'failed' AS status, 0::BIGINT AS n_rows UNION ALL SELECT 2, 'committed', count(*) FROM p UNION ALL SELECT 3, 'committed', 0")
+def p5_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows that three runs in a row add to the target: one that fails before it publishes, one that takes its place, one without anything new."""
+    target, source = _target(spark, folder)
+    rows = []
+    for run, transform in enumerate([_lost, lambda df: df, lambda df: df], 1):
+        before = target.head()["version"]
+        try:
+            target.run(source, transform)
+        except RuntimeError:
+            pass
+        head = target.head()
+        added = target.published(head) if head["version"] > before else source.limit(0)
+        rows.append(added.agg(F.lit(run).alias("run"), F.lit("committed" if head["version"] > before else "failed").alias("status"), F.count(F.lit(1)).alias("n_rows")))
+    return rows[0].unionAll(rows[1]).unionAll(rows[2])
 
 
 P6_TABLES, P6_FIELDS, P6_SHARE = ("otlp_logs", "client_acks", "changelog"), ("tenant", "partition"), 0.05
@@ -180,8 +229,27 @@ FROM otlp_logs GROUP BY partition
 )
 def p6_per_partition(spark: SparkSession, folder: str) -> DataFrame:
     """Several aggregates of every partition, hot or not."""
-    from tidewright.operators.lateness import epoch_ms
-
     logs = table(spark, folder, "otlp_logs").select("partition", "seq", "body", epoch_ms(F.col("ts")).alias("ms"), "severity_number")
     aggs = {"n_rows": ("rows", None), "n_bodies": ("count", "body"), "first_ms": ("min", "ms"), "last_ms": ("max", "ms"), "severity_sum": ("sum", "severity_number")}
-    return per_key(logs, ["partition"], aggs, ["seq"])
+    return per_key(logs, ["partition"], aggs)
+
+
+@R.add(
+    "p6_enriched",
+    """
+WITH w AS (SELECT partition AS p, max(complete_through_ms) AS bound FROM watermark_log WHERE event = 'LakeCommitOk' GROUP BY partition)
+SELECT partition, severity_number, count(*) AS n_rows, count(DISTINCT body) AS n_bodies, count(*) FILTER (WHERE epoch_us(ts) // 1000 <= bound) AS n_complete
+FROM otlp_logs LEFT JOIN w ON p = partition GROUP BY ALL
+""",
+)
+def p6_enriched(spark: SparkSession, folder: str) -> DataFrame:
+    """Records of each partition and severity beside their partition's watermark: rows and distinct bodies, and rows that the watermark covers.
+
+    Rows go to the tasks of a plan from estimated loads; a hot partition's are split by body, its watermark is copied to those shards only.
+    """
+    logs = table(spark, folder, "otlp_logs").select("partition", "severity_number", "body", epoch_ms(F.col("ts")).alias("ms"))
+    log = table(spark, folder, "watermark_log").where("event = 'LakeCommitOk'")
+    marks = materialise(log.groupBy("partition").agg(F.max("complete_through_ms").alias("bound")), "marks")
+    placed = fragment_join(logs, marks, ["partition"], ["body"])
+    per_body = placed.groupBy("partition", "severity_number", "body").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ms") <= F.col("bound")).alias("c"))
+    return per_body.groupBy("partition", "severity_number").agg(F.sum("n").alias("n_rows"), F.count("body").alias("n_bodies"), F.sum("c").alias("n_complete"))

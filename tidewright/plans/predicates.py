@@ -38,8 +38,7 @@ def zero_acked_lost(journal: DataFrame, present: DataFrame) -> DataFrame:
     """
     keys = ["tenant", "source_incarnation"]
     first, last = (F.col("first_index") + 1).alias("first_seq"), lambda n: (F.col("first_index") + F.col(n)).alias("last_seq")
-    owed = union_ranges(_acked(journal).select(*keys, first, last("record_count")), keys)
-    have = union_ranges(present.select(*keys, first, last("count")), keys)
+    owed, have = _acked(journal).select(*keys, first, last("record_count")), present.select(*keys, first, last("count"))
     lost = subtract_ranges(owed, have, keys)
     return lost.select(*keys, (F.col("first_seq") - 1).alias("first_index"), (F.col("last_seq") - 1).alias("last_index"))
 
