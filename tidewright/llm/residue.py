@@ -35,6 +35,8 @@ LONG, LONG_SHARE, MISMATCH_SHARE, BESIDE_SHARE = 10, 0.1, 0.6, 0.5
 LAST_SHARE, STRAY_CHARS = 0.9, 12
 #: A first line of more characters is no title but content.
 TITLE_CHARS = 160
+#: No listed page frame is longer, in characters, so longer segments needn't be tried.
+FRAME_CHARS = 64
 #: Looks at segments beside messages.
 LOOKS = 2
 
@@ -68,18 +70,16 @@ PLACEHOLDERS = [
 _CODE = r"(?s)```.*?(?:```|\z)|``[^`]*``|`[^`\n]*`"
 #: Fenced code without its language.
 _FENCE = r"(?s)```[\w+-]*(.*?)(?:```|\z)"
-#: Characters that are dropped (soft hyphen, zero-width ones, byte order mark) and blanks that become a plain one, as character maps: far cheaper than patterns.
-_DROPPED = "­﻿​‌‍⁠"
-_BLANKS = "\t              　"
-#: Accents are taken off, so that composed and decomposed letters are alike; the same is done to the lists.
+#: Accents are taken off before the lists are tried, so that composed and decomposed letters are alike; the same is done to the lists.
 _ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿёй"
 _BASE = "aaaaaaceeeeiiiinooooouuuuyyеи"
-_COMBINING = "".join(map(chr, range(0x300, 0x370)))
-#: Line ends and ends of sentences and fields within a line; the latter leave a mark, as only a whole line can be a title.
-_LINES, _MARK = "\r\x0b\x0c\u0085  ", "\x01"
-_BREAKS = r"(?<=[.!?…]) +(?=[^\n])|(?<=[。！？])(?=[^\n])| [|·•»›] |\" ?: ?|, ?\""
+#: Characters without a width: soft hyphen, zero-width ones, byte order mark, combining accents.
+_NO_WIDTH = r"[­﻿​-‍⁠̀-ͯ]+"
+#: Line ends, and ends of sentences and fields within a line; the latter leave a mark, as only a whole line can be a title.
+_LINES, _MARK = r"\n\r\x0b\x0c\u0085  ", "\x01"
+_BREAKS = r"(?=[.!?…。！？\",|·•»›])(?:[.!?…]\h+(?=[^\h" + _LINES + r"])|[。！？](?=[^" + _LINES + r"])|\"\h?:\h?|,\h?\"|[|·•»›]\h)"
 #: Numbers with their units, and identifiers.
-_NUMBERS = r"(?<![a-z\d])[a-z]*+(?:\d|[-_][a-z\d])(?:[a-z\d.,:%/+_-]*[a-z\d%])?(?: +(?:ms|s|min|h)(?![a-z]))?"
+_NUMBERS = r"(?<![a-z\d])[a-z]*+(?:\d|[-_][a-z\d])(?:[a-z\d.,:%/+_-]*[a-z\d%])?(?:\h+(?:ms|s|min|h)(?![a-z]))?"
 
 
 def _whole(patterns: list[str]) -> str:
@@ -91,39 +91,40 @@ _FRAME = _whole(lexicon.FRAME)
 
 
 def _plain(text: Column) -> Column:
-    return F.translate(text, _BLANKS + _DROPPED, " " * len(_BLANKS))
+    """The text without characters that have no width, every blank a plain one."""
+    return F.regexp_replace(F.regexp_replace(text, _NO_WIDTH, ""), r"[\h&&[^ ]]", " ")
 
 
-def has_placeholder(text: Column) -> Column:
-    """Whether an unfilled field stands in the text outside of code. Null gives false."""
-    plain = F.when(text.contains("`"), F.regexp_replace(_plain(text), _CODE, " ")).otherwise(_plain(text))
+def has_placeholder(plain: Column) -> Column:
+    """Whether an unfilled field stands in a plain text outside of code. Null gives false."""
+    outside = F.when(plain.contains("`"), F.regexp_replace(plain, _CODE, " ")).otherwise(plain)
     # every syntax begins with one of these characters, so the alternatives are tried at few places
-    return F.coalesce(plain.rlike(r"(?=[{$#<%@_\[【(X])(?:" + "|".join(f"(?:{p})" for p in PLACEHOLDERS) + ")"), F.lit(False))
+    return F.coalesce(outside.rlike(r"(?=[{$#<%@_\[【(X])(?:" + "|".join(f"(?:{p})" for p in PLACEHOLDERS) + ")"), F.lit(False))
 
 
-def segments(text: Column) -> Column:
-    """Normalised sentences and lines of a text, in order: lower case, without tags and punctuation, numbers and names as ``0``, one blank between words.
+def _flat(text: Column) -> Column:
+    """Lower case without characters that have no width."""
+    return F.regexp_replace(F.lower(text), _NO_WIDTH, "")
 
-    Segments that end within a line have a mark at their end. Those without two letters in a row are left out.
-    """
-    flat = F.translate(F.lower(_plain(text)), _LINES + _ACCENTED + _COMBINING, "\n" * len(_LINES) + _BASE)
-    flat = F.when(flat.contains("<"), F.regexp_replace(flat, r"</?[a-z!][^<>\n]{0,60}>", "\n")).otherwise(flat)
-    flat = F.regexp_replace(flat, _NUMBERS, "0")
-    flat = F.regexp_replace(flat, _BREAKS, _MARK + "\n")
-    flat = F.regexp_replace(flat, rf"[^\p{{L}}\p{{N}}\n{_MARK}]+", " ")
-    return F.filter(F.transform(F.split(flat, "\n"), lambda s: F.trim(s)), lambda s: s.rlike(r"\p{L}{2}"))
+
+def _normal(flat: Column) -> Column:
+    """A flat text without tags and punctuation, numbers and names as ``0``, one blank between words; ends of segments within a line are marks."""
+    plain = F.when(flat.contains("<"), F.regexp_replace(flat, r"</?[a-z!][^<>" + _LINES + r"]{0,60}>", "\n")).otherwise(flat)
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, _NUMBERS, "0"), _BREAKS, _MARK), rf"[^\p{{L}}\p{{N}}{_LINES}{_MARK}]+", " ")
 
 
-def _unmarked(s: Column) -> Column:
-    return F.rtrim(F.translate(s, _MARK, ""))
+def segments(normal: Column) -> Column:
+    """Sentences and lines of a normalised text in order, without those that have no two letters in a row."""
+    return F.filter(F.transform(F.split(normal, f"[{_LINES}{_MARK}]"), lambda s: F.trim(s)), lambda s: s.rlike(r"\p{L}{2}"))
 
 
 def _is_frame(s: Column) -> Column:
-    return (F.length(s) <= 80) & _unmarked(s).rlike(_FRAME)
+    return (F.length(s) <= FRAME_CHARS) & s.rlike(_FRAME)
 
 
 def is_message(s: Column) -> Column:
     """Whether a normalised segment is, from end to end, a listed error message, script notice or filler."""
+    s = F.translate(s, _ACCENTED, _BASE)
     words = F.split(s, " ")
     known = F.array(*[F.lit(w) for w in dict.fromkeys(lexicon.LATIN)])
     own = F.array_distinct(words)
@@ -153,17 +154,22 @@ def _records(docs: DataFrame) -> DataFrame:
     """
     fenced = F.col("text").contains("```")
     outside = F.when(fenced, F.regexp_replace("text", _FENCE, "\n")).otherwise(F.col("text"))
-    inside = F.when(fenced, segments(F.array_join(F.regexp_extract_all("text", F.lit(_FENCE), F.lit(1)), "\n"))).otherwise(F.array().cast("array<string>"))
-    rows = docs.select("doc_id", "tenant", F.lower("path").alias("path"), segments(outside).alias("segs"), inside.alias("inside")).withColumn("row", F.monotonically_increasing_id())
-    rows = _once(_once(rows).withColumn("segs", F.filter("segs", lambda s: ~_is_frame(s))).withColumn("end", F.element_at(F.concat(F.array(F.lit("")), "segs"), -1)))
-    first = F.coalesce(F.get("segs", F.lit(0)), F.lit(""))
-    titled = (F.size(F.array_distinct("segs")) > 1) & ~first.contains(_MARK) & (F.length(first) <= TITLE_CHARS)
-    rows = _once(rows.withColumn("title", F.when(titled, first))).withColumn("end", _unmarked(F.col("end")))
-    rest = F.array_distinct(F.transform(F.filter("segs", lambda s: ~s.eqNullSafe(F.col("title"))), _unmarked))
-    code = F.array_except(F.array_distinct(F.transform("inside", _unmarked)), "rest")
+    inside = F.when(fenced, F.array_join(F.regexp_extract_all("text", F.lit(_FENCE), F.lit(1)), "\n"))
+    rows = _once(docs.select("doc_id", "tenant", F.lower("path").alias("path"), _flat(outside).alias("out"), _flat(inside).alias("in")).withColumn("row", F.monotonically_increasing_id()))
+    none = F.array().cast("array<string>")
+    rows = _once(rows.select("doc_id", "tenant", "path", "row", _normal(F.col("out")).alias("normal"), F.when(F.col("in").isNull(), none).otherwise(segments(_normal(F.col("in")))).alias("inside")))
+    rows = _once(rows.withColumn("segs", F.filter(segments(F.col("normal")), lambda s: ~_is_frame(s))))
+    rows = rows.withColumns({"end": F.element_at(F.concat(F.array(F.lit("")), "segs"), -1), "first": F.coalesce(F.get("segs", F.lit(0)), F.lit(""))})
+    # a title is a whole line: its segment doesn't end within one
+    after = F.substring(F.col("normal"), F.instr(F.col("normal"), F.col("first")) + F.length("first"), F.lit(2))
+    titled = (F.size(F.array_distinct("segs")) > 1) & ~after.contains(_MARK) & (F.length("first") <= TITLE_CHARS)
+    rows = _once(rows.withColumn("title", F.when(titled, F.col("first"))).drop("normal", "first"))
+    rest = F.array_distinct(F.filter("segs", lambda s: ~s.eqNullSafe(F.col("title"))))
+    code = F.array_except(F.array_distinct("inside"), "rest")
     terms = F.array_distinct(_terms(F.concat_ws(" ", "title", "path")))
     rows = _once(_once(rows.withColumn("rest", rest)).withColumn("code", code).withColumn("terms", terms)).withColumn("c", F.size("rest") + F.size("code")).where("c > 0")
-    outer = F.transform("rest", lambda s: F.struct(s.alias("s"), _identity(s).alias("m"), F.lit(False).alias("code"), F.arrays_overlap(F.split(s, " "), "terms").alias("own"), (s == F.col("end")).alias("last"), F.lit(False).alias("title")))
+    split = F.transform("rest", lambda s: F.struct(s.alias("s"), F.array_distinct(F.split(s, " ")).alias("w")))
+    outer = F.transform(split, lambda x: F.struct(x["s"].alias("s"), F.xxhash64(x["w"]).alias("m"), F.lit(False).alias("code"), F.arrays_overlap(x["w"], "terms").alias("own"), (x["s"] == F.col("end")).alias("last"), F.lit(False).alias("title")))
     inner = F.transform("code", lambda s: F.struct(s.alias("s"), _identity(s).alias("m"), F.lit(True).alias("code"), F.lit(False).alias("own"), F.lit(False).alias("last"), F.lit(False).alias("title")))
     place = F.xxhash64("title", F.regexp_replace("path", _NUMBERS, "0"))
     title = F.struct(F.col("title").alias("s"), _identity(F.col("title")).alias("m"), F.lit(False).alias("code"), F.lit(False).alias("own"), F.lit(False).alias("last"), F.lit(True).alias("title"))
@@ -231,7 +237,7 @@ def find_residue(docs: DataFrame) -> DataFrame:
     records = materialise(_records(docs), "records")
     hits = _hits(records, _marks(records))
     whole = hits.where(F.col("known") + F.col("code") + F.col("loose") == F.col("c"))
-    known = docs.where(has_placeholder(F.col("text"))).select("doc_id", F.lit("placeholder").alias("evidence"))
+    known = _once(docs.select("doc_id", _plain(F.col("text")).alias("plain"))).where(has_placeholder(F.col("plain"))).select("doc_id", F.lit("placeholder").alias("evidence"))
     return known.unionAll(whole.select("doc_id", F.when(F.col("learned") > 0, "learned").otherwise("message").alias("evidence")))
 
 
