@@ -90,9 +90,14 @@ _MESSAGE = _whole([*lexicon.SCRIPT, *lexicon.ERROR, *lexicon.FILLER])
 _FRAME = _whole(lexicon.FRAME)
 
 
+def _is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
 def _plain(text: Column) -> Column:
     """The text without characters that have no width, every blank a plain one."""
-    return F.regexp_replace(F.regexp_replace(text, _NO_WIDTH, ""), r"[\h&&[^ ]]", " ")
+    wide = F.regexp_replace(F.regexp_replace(text, _NO_WIDTH, ""), r"[\h&&[^ ]]", " ")
+    return F.when(_is_ascii(text), F.replace(text, F.lit("\t"), F.lit(" "))).otherwise(wide)
 
 
 def has_placeholder(plain: Column) -> Column:
@@ -104,7 +109,7 @@ def has_placeholder(plain: Column) -> Column:
 
 def _flat(text: Column) -> Column:
     """Lower case without characters that have no width."""
-    return F.regexp_replace(F.lower(text), _NO_WIDTH, "")
+    return F.when(_is_ascii(text), F.lower(text)).otherwise(F.regexp_replace(F.lower(text), _NO_WIDTH, ""))
 
 
 def _normal(flat: Column) -> Column:
