@@ -1,8 +1,9 @@
 """Flattening of OTLP/JSON log requests into log records, with typed refusal of malformed ones.
 
 A request nests resources, scopes and records; each level is exploded on the JVM. Empty groups give no rows; a missing resource has
-the attributes ``{}``, a missing scope a null name. Attribute values are the recursive AnyValue, which is kept as JSON text
-and rendered level by level on the JVM to a fixed depth; the few values that go deeper are rendered as a whole by an Arrow UDF.
+the attributes ``{}``, a missing scope a null name. Attributes and bodies are recursive; they are not parsed with the request but kept as
+JSON text. Lists of texts, numbers and truth values, which nearly all are, are rendered by one pattern on the JVM; all others, of any depth, by
+one Arrow UDF, which gives the same text.
 """
 
 from __future__ import annotations
@@ -18,28 +19,28 @@ from pyspark.sql import types as T
 
 from tidewright.functions.ids import hex_id
 
-#: How deep arrays and key-value lists are rendered on the JVM.
-DEPTH = 3
-
 _KV = "array<struct<key:string,value:string,keyStrindex:int>>"
 REQUEST = (
-    "resourceLogs array<struct<resource:struct<attributes:" + _KV + ">,scopeLogs:array<struct<scope:struct<name:string,version:string>,"
-    "logRecords:array<struct<timeUnixNano:string,observedTimeUnixNano:string,severityNumber:int,severityText:string,body:string,attributes:" + _KV + ","
+    "resourceLogs array<struct<resource:struct<attributes:string>,scopeLogs:array<struct<scope:struct<name:string,version:string>,"
+    "logRecords:array<struct<timeUnixNano:string,observedTimeUnixNano:string,severityNumber:int,severityText:string,body:string,attributes:string,"
     "droppedAttributesCount:bigint,flags:bigint,traceId:string,spanId:string,eventName:string>>>>>>"
 )
-_VALUE = "stringValue string, boolValue boolean, intValue string, doubleValue string, bytesValue string, arrayValue struct<values:array<string>>, kvlistValue struct<values:" + _KV + ">, stringValueStrindex int"
 
+#: A JSON text in quotes; attributes whose value is a text, truth value or whole number. Longer lists are left to the UDF, as the pattern recurses.
+_QUOTED = r'"(?:[^"\\]++|\\.)*+"'
+_SIMPLE = r'\{"key":(' + _QUOTED + r'),"value":\{"(?:stringValue":(' + _QUOTED + r')|boolValue":(true|false)|intValue":"?(-?\d+)"?)\}\}'
+SIMPLE_CHARS = 8192
 
-def parse_request(json: Column) -> Column:
-    """The request's structure; null where the text is no JSON object (a malformed request is refused as a whole)."""
-    whole = F.try_parse_json(json).isNotNull() & F.ltrim(json).startswith("{")
-    return F.when(whole, F.from_json(json, REQUEST, {"mode": "PERMISSIVE"}))
 
+def parse_request(json: Column) -> Column:
+    """The request's structure; null where the text is no JSON object (a malformed request is refused as a whole).
 
-def _quoted(c: Column) -> Column:
-    # to_json of a one-field struct quotes and escapes; its frame is cut off
-    framed = F.to_json(F.named_struct(F.lit("v"), c))
-    return F.substring(framed, F.lit(6), F.length(framed) - 6)
+    One parse; only a text with a field that doesn't fit is parsed once more, to tell such fields, which are null, from what is no JSON.
+    """
+    parsed = F.from_json(json, REQUEST + ", __bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"})
+    fits = lambda p: F.ltrim(json).startswith("{") & (p["__bad"].isNull() | F.try_parse_json(json).isNotNull())
+    # an array of one, so that the parsed value has a name and isn't computed for each use
+    return F.transform(F.array(parsed), lambda p: F.when(fits(p), F.struct(p["resourceLogs"].alias("resourceLogs"))))[0]
 
 
 def _rendered(v: object) -> str:
@@ -77,61 +78,32 @@ def _rendered(v: object) -> str:
 
 
 @F.pandas_udf(T.StringType())
-def _deep_json(value: pd.Series) -> pd.Series:
-    """AnyValues as JSON text, rendered; null, which all but the deep ones are, stays null."""
-    return value.map(lambda text: None if text is None else _rendered(json.loads(text)))
-
-
-def _may_be_deep(value: Column, depth: int) -> Column:
-    """Whether a value names more arrays and lists than ``depth``; side by side they count too, which costs time only."""
-    return value.contains('Value"') & (F.size(F.split(value, '"(?:arrayValue|kvlistValue)"')) > depth + 1)
-
+def _render(wire: pd.Series) -> pd.Series:
+    """Attributes (a JSON array) or AnyValues (a JSON object) as JSON text; null, which all but the unusual ones are, stays null."""
+    def one(text: str | None) -> str | None:
+        if text is None:
+            return None
+        v = json.loads(text)
+        return _rendered({"kvlistValue": {"values": v}} if isinstance(v, list) else v)
 
-def _whole(rendered: Column, value: Column, deep: Column) -> Column:
-    """``rendered``, or ``value`` rendered by the UDF where it may go deeper; the test is on the wire form, so nothing is rendered twice."""
-    return F.when(deep, _deep_json(F.when(deep, value))).otherwise(rendered)
+    return wire.map(one)
 
 
-def value_json(value: Column, depth: int = DEPTH) -> Column:
+def value_json(value: Column) -> Column:
     """JSON text of an AnyValue given as JSON text: bytes as hex, NaN and infinities and unknown forms as null. Not for use in lambdas."""
-    return _whole(_value(value, depth), value, _may_be_deep(value, depth))
-
-
-def _value(value: Column, depth: int) -> Column:
-    v = F.from_json(value, _VALUE)
-    number = v["doubleValue"].cast("double")
-    finite = F.when(F.isnan(number) | (F.abs(number) == float("inf")), F.lit("null")).otherwise(number.cast("string"))
-    out = (
-        F.when(v["stringValue"].isNotNull(), _quoted(v["stringValue"]))
-        .when(v["boolValue"].isNotNull(), v["boolValue"].cast("string"))
-        .when(v["intValue"].isNotNull(), v["intValue"])
-        .when(v["doubleValue"].isNotNull(), finite)
-        .when(v["bytesValue"].isNotNull(), F.concat(F.lit('"'), F.lower(F.hex(F.unbase64(v["bytesValue"]))), F.lit('"')))
-    )
-    if depth > 0:
-        items = F.transform(v["arrayValue"]["values"], lambda x: _value(x, depth - 1))
-        out = out.when(v["arrayValue"].isNotNull(), F.concat(F.lit("["), F.coalesce(F.array_join(items, ","), F.lit("")), F.lit("]")))
-        out = out.when(v["kvlistValue"].isNotNull(), _attributes(v["kvlistValue"]["values"], depth - 1))
-    return F.coalesce(out, F.lit("null"))
-
-
-def attributes_json(pairs: Column, depth: int = DEPTH) -> Column:
-    """A JSON object of attributes; pairs whose key is an interning reference are left out; without pairs ``{}``. Not for use in lambdas."""
-    # the pairs' values are JSON texts already, so they are framed without quoting them again
-    each = F.transform(pairs, lambda p: F.concat(F.lit('{"key":'), _quoted(F.coalesce(p["key"], F.lit(""))), F.lit(',"keyStrindex":'), F.coalesce(p["keyStrindex"], F.lit(0)).cast("string"), F.lit(',"value":'), _wire(p["value"]), F.lit("}")))
-    wire = F.concat(F.lit('{"kvlistValue":{"values":['), F.array_join(each, ","), F.lit("]}}"))
-    return _whole(_attributes(pairs, depth), wire, F.coalesce(F.exists(pairs, lambda p: _may_be_deep(p["value"], depth)), F.lit(False)))
-
-
-def _wire(value: Column) -> Column:
-    # a value that is no JSON object is text without its quotes, and no AnyValue
-    return F.when(F.ltrim(value).startswith("{"), value).otherwise("null")
+    known = F.ltrim(value).startswith("{")
+    return F.when(known, _render(F.when(known, value))).otherwise("null")
 
 
-def _attributes(pairs: Column, depth: int) -> Column:
-    plain = F.filter(pairs, lambda p: F.coalesce(p["keyStrindex"], F.lit(0)) == 0)
-    each = F.transform(plain, lambda p: F.concat(_quoted(F.coalesce(p["key"], F.lit(""))), F.lit(":"), _value(p["value"], depth)))
-    return F.concat(F.lit("{"), F.coalesce(F.array_join(each, ","), F.lit("")), F.lit("}"))
+def attributes_json(pairs: Column) -> Column:
+    """A JSON object of attributes given as JSON text; pairs whose key is an interning reference are left out; without pairs ``{}``. Not for use in lambdas."""
+    flat = F.regexp_replace(pairs, _SIMPLE, "$1:$2$3$4")
+    # in a quoted text a quote is escaped, so an opened object that is left is one that the pattern doesn't know
+    odd = flat.rlike(r'\{[\s"}]') | pairs.rlike(r"\\[u/]|\},\s|^\[\s|\s\]$")
+    simple = (F.length(pairs) <= SIMPLE_CHARS) & pairs.startswith("[") & ~F.when(F.length(pairs) <= SIMPLE_CHARS, odd)
+    unusual = pairs.isNotNull() & ~simple
+    whole = F.concat(F.lit("{"), F.substring(flat, F.lit(2), F.length(flat) - 2), F.lit("}"))
+    return F.when(pairs.isNull(), "{}").when(simple, whole).otherwise(_render(F.when(unusual, pairs)))
 
 
 def ignored_references(pairs: Column) -> Column:
@@ -141,9 +113,12 @@ def ignored_references(pairs: Column) -> Column:
 
 def body_text(body: Column) -> Column:
     """Strings as they are, other values as JSON, an absent or interned one null."""
-    v = F.from_json(body, _VALUE)
-    other = value_json(body)
-    return F.when(v["stringValue"].isNotNull(), v["stringValue"]).when(other != "null", other)
+    is_text = body.startswith('{"stringValue":')
+    odd = body.isNotNull() & ~is_text
+    v = _render(F.when(odd, body))
+    # written with blanks, a text is rendered in quotes and read back
+    spaced = odd & body.rlike(r'^\s*\{\s*"stringValue"\s*:')
+    return F.when(is_text | spaced, F.get_json_object(body, "$.stringValue")).when(v != "null", v)
 
 
 def event_time(nanos: Column, observed: Column) -> Column:
