@@ -205,3 +205,37 @@ def test_range_keeps_landed_rows_of_uncommitted_partitions(spark, tmp_path):
     assert sorted(r.partition for r in e.view("logs", base, base).collect()) == ["new.0", "t.0"]
     assert not Engine(spark, lake, [LOGS], hot={"logs": landing.rows()}, tenants=["new"]).absent("logs", base, base)
     assert e.absent("logs", base - 1000, base - 500)
+
+
+def test_dropping_keeps_what_the_lake_lacks(spark, tmp_path):
+    from tidewright.streaming.landing import ALREADY_GONE, DROPPED, RESIDUE_KEPT
+
+    landing = Landing(spark, str(tmp_path), "n1")
+    record = '{"timeUnixNano":"1000","body":{"stringValue":"%d"}}'
+    request = '{"resourceLogs":[{"scopeLogs":[{"logRecords":[%s]}]}]}'
+    rows = [("t", f"tok{k}", request % ",".join(record % n for n in range(3))) for k in range(4)]
+    landing.stage(spark.createDataFrame(rows, "tenant string, token string, request string"), "q", 0, now_ms=0)
+    before = landing.staged_bytes()
+    assert sorted(r.seq for r in landing.rows([0]).collect()) == list(range(1, 13))
+    ranges = lambda *x: spark.createDataFrame([("t.0", "n1", a, b) for a, b in x], "partition string, origin string, first_seq bigint, last_seq bigint")
+    assert landing.drop_covered(0, ranges((1, 5), (9, 12))) == RESIDUE_KEPT
+    assert sorted(r.seq for r in landing.rows([0]).collect()) == [6, 7, 8] and 0 < landing.staged_bytes() < before
+    assert Landing(spark, str(tmp_path), "n1").drop_covered(0, ranges((1, 12))) == DROPPED
+    assert landing.drop_covered(0, ranges((1, 12))) == ALREADY_GONE and landing.rows() is None and landing.staged_bytes() == 0
+
+
+def test_paths_without_scheme_belong_to_the_default_file_system(spark, tmp_path):
+    from tidewright.sources.atomic import list_names, put_if_absent, read_bytes
+
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    old = conf.get("fs.defaultFS")
+    (tmp_path / "mounted").mkdir()
+    conf.set("fs.viewfs.mounttable.lake.link./data", f"file://{tmp_path}/mounted")
+    conf.set("fs.defaultFS", "viewfs://lake/")
+    try:
+        assert put_if_absent(spark, "/data/v/1.json", b"x") and not put_if_absent(spark, "/data/v/1.json", b"y")
+        assert read_bytes(spark, "/data/v/1.json") == b"x" and list_names(spark, "/data/v") == ["1.json"]
+        spark.range(3).write.parquet("/data/t")
+    finally:
+        conf.set("fs.defaultFS", old or "file:///")
+    assert (tmp_path / "mounted" / "v" / "1.json").read_bytes() == b"x" and (tmp_path / "mounted" / "t").is_dir()

@@ -3,9 +3,9 @@
 import pytest
 
 from tests.compare import same
-from tidewright.plans import pipeline_queries, sql_queries, stream_queries
+from tidewright.plans import lake_queries, pipeline_queries, sql_queries, stream_queries
 
-REGISTRIES = [pipeline_queries.R, stream_queries.R, sql_queries.R]
+REGISTRIES = [pipeline_queries.R, stream_queries.R, lake_queries.R, sql_queries.R]
 NAMES = [(r, n) for r in REGISTRIES for n in r.queries]
 
 

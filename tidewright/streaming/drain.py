@@ -51,15 +51,14 @@ def drain(spark: SparkSession, landing: Landing, lake: LakeLog, d: DatasetDecl,
     One job writes a window's parts, one entry of the log commits them with their watermarks. A lake window is numbered per
     partition, densely, in the order of the landing's windows, so partitions that had no rows in a window leave no hole.
     """
-    done, drained = [], []
+    done = []
     for w in eligible(landing.closed_windows(now_ms), now_ms, lateness_ms):
         rows = landing.rows([w])
         outcomes = [] if rows is None else _seal(spark, lake, d, materialise(checked(rows, transform, ["partition", "window_id", "origin", "seq", d.time_col]), "window"), w)
         done += outcomes
-        if all(o == COMMITTED for _, _, o in outcomes):
-            drained.append(w)
-    if drained:
-        landing.drop(drained)
+        if outcomes and all(o == COMMITTED for _, _, o in outcomes):
+            held = lake.manifests().where((F.col("dataset") == d.name) & (F.col("part_kind") != "snapshot")).select("partition", F.explode("origin_coverage").alias("r")).select("partition", "r.*")
+            landing.drop_covered(w, held)
     return done
 
 

@@ -18,16 +18,25 @@ from tidewright.functions.ids import dedup_key
 from tidewright.functions.naming import partition_id, resolved_tenant, tenant_is_valid
 from tidewright.functions.otlp import flatten_logs, parse_request
 from tidewright.operators.dedup import evict_beyond, split_known
-from tidewright.operators.upkeep import staged_bytes
+from tidewright.operators.ranges import covered
+from tidewright.operators.skew import lookup_join
+from tidewright.operators.upkeep import content_bytes
 from tidewright.plans.transforms import checked
 from tidewright.session import materialise
 from tidewright.sources.commitlog import LakeLog
-from tidewright.types import APPLIED, InvalidInput, Overloaded, PayloadTooLarge
+from tidewright.types import APPLIED, SYSTEM_COLUMNS, InvalidInput, Overloaded, PayloadTooLarge, check_payload
 
 LEDGER = T.StructType([T.StructField("tenant", T.StringType()), T.StructField("dedup_key", T.StringType()), T.StructField("outcome", T.StringType()), T.StructField("created_ms", T.LongType())])
-#: Default limits: bytes of a request, time to live and rows per tenant of the ledger, length of a window.
+#: Fixed values, default limits: bytes of a request, time to live and rows per tenant of the ledger, length of a window.
 MAX_PAYLOAD, TTL_MS, LEDGER_ROWS, WINDOW_MS = 4 * 2**20, 24 * 3_600_000, 100_000, 60_000
 
+#: Rows of a partition are numbered within so many blocks, one after the other.
+BLOCKS = 256
+#: After so many parts the ledger is rewritten without what it may forget.
+LEDGER_PARTS = 16
+#: Outcomes of dropping a window.
+DROPPED, RESIDUE_KEPT, ALREADY_GONE = "dropped", "residue_kept", "already_gone"
+
 
 class Landing:
     """The staging area of one dataset on one node (``origin``)."""
@@ -41,7 +50,7 @@ class Landing:
     # state: the fold of the batches
 
     def _batches(self) -> list[dict]:
-        return sorted((b for k, b in self.log.state().batches.items() if k != "dropped"), key=lambda b: b["order"])
+        return sorted((b for k, b in self.log.state().batches.items() if b["order"] >= 0), key=lambda b: b["order"])
 
     def high_waters(self) -> dict[str, int]:
         """The greatest number given per partition."""
@@ -67,19 +76,33 @@ class Landing:
         return [{"window_id": w, "closed_ms": at + self.window_ms} for w, at in sorted(opened.items()) if w < newest or now_ms >= at + self.window_ms]
 
     def ledger(self) -> DataFrame:
-        files = [f"{self.path}/{b['ledger']}" for b in self._batches() if b["ledger"]]
+        return self._ledger(self._ledger_parts())
+
+    def _ledger_parts(self) -> list[str]:
+        parts: list[str] = []
+        for b in self._batches():
+            if b["ledger"]:
+                parts = [b["ledger"]] if b.get("ledger_whole") else [*parts, b["ledger"]]
+        return parts
+
+    def _ledger(self, parts: list[str]) -> DataFrame:
+        files = [f"{self.path}/{p}" for p in parts]
         return self.spark.read.schema(LEDGER).parquet(*files) if files else self.spark.createDataFrame([], LEDGER)
 
+    def _live(self) -> list[dict]:
+        """Batches and residues whose rows are landed and not dropped."""
+        batches = self.log.state().batches
+        gone = set(batches.get("dropped", {}).get("staged", []))
+        return [b for k, b in batches.items() if k != "dropped" and b["staged"] and b["staged"] not in gone]
+
     def rows(self, windows: list[int] | None = None) -> DataFrame | None:
         """Landed rows not yet dropped, of the given windows; None before the first row."""
-        dropped = set(self.log.state().batches.get("dropped", {}).get("windows", []))
-        files = [f"{self.path}/{b['staged']}" for b in self._batches() if b["staged"] and b["window_id"] not in dropped and (windows is None or b["window_id"] in windows)]
+        files = sorted(f"{self.path}/{b['staged']}" for b in self._live() if windows is None or b["window_id"] in windows)
         return self.spark.read.parquet(*files) if files else None
 
     def staged_bytes(self) -> int:
-        """Content bytes of the rows that are landed and not dropped."""
-        rows = self.rows()
-        return 0 if rows is None else staged_bytes(rows, []).first()["staged_bytes"] or 0
+        """Content bytes of the rows that are landed and not dropped, as the log's entries say."""
+        return sum(b["bytes"] for b in self._live())
 
     def applied(self) -> DataFrame:
         return self.spark.createDataFrame([(p, self.origin, n) for p, n in sorted(self.high_waters().items())], APPLIED)
@@ -117,22 +140,34 @@ class Landing:
         fresh = materialise(fresh, "fresh")
         window_id, opened = self.window(now_ms)
         rows = flatten_logs(fresh.withColumnRenamed("parsed", "request"), keep=["tenant", "dedup_key"])
+        # blocks by content, so that a retried task numbers alike; rows equal in every column are interchangeable
+        content = F.xxhash64(*rows.columns)
+        rows = rows.withColumn("partition", partition_id(F.col("tenant"), F.lit(0))).withColumns({"__tw_h": content, "__tw_block": F.pmod(content, F.lit(BLOCKS)).cast("int")})
+        rows = materialise(rows, "flat")
+        counts = rows.groupBy("partition", "__tw_block").agg(F.count(F.lit(1)).alias("n"))
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("partition").orderBy("__tw_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         marks = self.spark.createDataFrame(sorted(self.high_waters().items()), "partition string, base bigint")
-        rows = rows.withColumn("partition", partition_id(F.col("tenant"), F.lit(0)))
-        # a total order, so that a retried task numbers alike; rows equal in every column are interchangeable
-        order = Window.partitionBy("partition").orderBy("dedup_key", "ts", F.xxhash64(*[c for c in rows.columns]), *[c for c in rows.columns if c not in ("partition", "dedup_key", "ts")])
-        numbered = rows.join(F.broadcast(marks), "partition", "left").withColumn("seq", (F.coalesce("base", F.lit(0)) + F.row_number().over(order)).cast("bigint"))
-        out = numbered.select("tenant", "partition", F.lit(window_id).cast("bigint").alias("window_id"), F.lit(self.origin).alias("origin"), "seq", *[c for c in rows.columns if c not in ("tenant", "partition", "dedup_key")])
+        bases = counts.join(marks, "partition", "left").select("partition", "__tw_block", (F.coalesce("base", F.lit(0)) + before).alias("__tw_base"))
+        # no partition is sorted as a whole: a block is, and its first number follows from the blocks before it
+        payload = [c for c in rows.columns if c not in ("tenant", "partition", "dedup_key", "__tw_h", "__tw_block")]
+        order = Window.partitionBy("partition", "__tw_block").orderBy("dedup_key", "__tw_h", *payload)
+        based = lookup_join(rows, materialise(bases, "bases"), ["partition", "__tw_block"], ["__tw_h"])
+        numbered = based.withColumn("seq", (F.col("__tw_base") + F.row_number().over(order)).cast("bigint"))
+        out = numbered.select("tenant", "partition", F.lit(window_id).cast("bigint").alias("window_id"), F.lit(self.origin).alias("origin"), "seq", *payload)
         name = identity.replace("/", "-")
         staged, ledger = f"staged-{name}-{now_ms}", f"ledger-{name}-{now_ms}"
         out = checked(out, self.transform, ["partition", "window_id", "origin", "seq"])
+        check_payload(T.StructType([f for f in out.schema.fields if f.name not in SYSTEM_COLUMNS]))
         out.write.mode("overwrite").parquet(f"{self.path}/{staged}")
-        fresh.select("tenant", "dedup_key", F.lit(identity).alias("outcome"), F.lit(now_ms).cast("bigint").alias("created_ms")).write.mode("overwrite").parquet(f"{self.path}/{ledger}")
-        tops = self.spark.read.parquet(f"{self.path}/{staged}").groupBy("partition").agg(F.max("seq").alias("n"), F.count("*").alias("rows")).collect()  # one row per partition of the batch
+        known = fresh.select("tenant", "dedup_key", F.lit(identity).alias("outcome"), F.lit(now_ms).cast("bigint").alias("created_ms"))
+        whole = len(self._ledger_parts()) >= LEDGER_PARTS
+        (self.compact_ledger(now_ms).unionByName(known) if whole else known).write.mode("overwrite").parquet(f"{self.path}/{ledger}")
+        kept = self.spark.read.parquet(f"{self.path}/{staged}")
+        tops = kept.groupBy("partition").agg(F.max("seq").alias("n"), F.count("*").alias("rows"), F.sum(content_bytes(kept.schema)).alias("bytes")).collect()  # one row per partition of the batch
         n_fresh = fresh.count()
         return {
-            "do": "batch", "id": identity, "order": len(self.log.state().batches), "window_id": window_id, "opened_ms": opened, "staged": staged if tops else None, "ledger": ledger if n_fresh else None,
-            "applied": {r["partition"]: r["n"] for r in tops}, "rows": sum(r["rows"] for r in tops), "duplicates": bad[3] - n_fresh,
+            "do": "batch", "id": identity, "order": len(self._batches()), "window_id": window_id, "opened_ms": opened, "staged": staged if tops else None, "ledger": ledger if n_fresh or whole else None, "ledger_whole": whole,
+            "applied": {r["partition"]: r["n"] for r in tops}, "rows": sum(r["rows"] for r in tops), "bytes": sum(r["bytes"] for r in tops), "duplicates": bad[3] - n_fresh,
         }
 
     def compact_ledger(self, now_ms: int) -> DataFrame:
@@ -140,13 +175,39 @@ class Landing:
         return evict_beyond(self.ledger().where(F.col("created_ms") >= now_ms - self.ttl_ms), self.ledger_rows)
 
     def drop(self, windows: list[int]) -> None:
-        """Forget landed rows of windows that the lake holds."""
+        """Forget all landed rows of windows, whatever the lake holds of them."""
+        self._forget([b["staged"] for b in self._live() if b["window_id"] in windows], None)
+
+    def drop_covered(self, window: int, coverage: DataFrame) -> str:
+        """Forget the rows of a window that ``coverage`` (partition, origin, first_seq, last_seq) holds: dropped, residue_kept or already_gone.
+
+        Rows that no range covers stay landed in their window, as a part of their own; nothing that the lake lacks is lost.
+        """
+        while True:
+            old = [b for b in self._live() if b["window_id"] == window]
+            if not old:
+                return ALREADY_GONE
+            left = covered(self.rows([window]), coverage, keep=False)
+            name = f"residue-{window}-{len(self.log.state().batches)}-{self.log.state().version}"
+            left.write.mode("overwrite").parquet(f"{self.path}/{name}")
+            kept = self.spark.read.schema(left.schema).parquet(f"{self.path}/{name}")
+            n, size = kept.agg(F.count(F.lit(1)), F.coalesce(F.sum(content_bytes(kept.schema)), F.lit(0))).first()
+            entry = None
+            if n:
+                entry = {"do": "batch", "id": f"residue/{name}", "order": -1, "window_id": window, "opened_ms": 0, "staged": name, "ledger": None, "applied": {}, "rows": n, "bytes": size}
+            if self._forget([b["staged"] for b in old], entry):
+                return RESIDUE_KEPT if n else DROPPED
+
+    def _forget(self, staged: list[str], residue: dict | None) -> bool:
+        """Take staged parts out, and put a residue in their place, by one entry; False if another writer came first and there is a residue to be judged again."""
         while True:
             s = self.log.state()
-            have = set(s.batches.get("dropped", {}).get("windows", []))
-            entry = {"do": "batch", "id": "dropped", "order": -1, "windows": sorted(have | set(windows)), "applied": {}, "staged": None, "ledger": None, "window_id": 0, "opened_ms": 0}
-            if set(windows) <= have or self.log.append(s.version, [entry]):
-                return
+            have = set(s.batches.get("dropped", {}).get("staged", []))
+            gone = {"do": "batch", "id": "dropped", "order": -1, "staged": sorted(have | set(staged)), "window_id": 0, "opened_ms": 0}
+            if set(staged) <= have or self.log.append(s.version, [gone, *([residue] if residue else [])]):
+                return True
+            if residue:
+                return False
 
     def start(self, stream: DataFrame, query: str, checkpoint: str, **trigger):
         """Land a stream of requests. The stream's own checkpoint replays batches; the landing's log makes that harmless."""
