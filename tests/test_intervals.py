@@ -1,7 +1,9 @@
 """Runs and gaps against a set of covered numbers; prefix sums against a plain loop."""
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidewright.operators.intervals import coalesce_ranges, manifest_coverage
 from tidewright.operators.prefix import prefix_sums
@@ -72,3 +74,46 @@ def test_range_algebra(spark):
     assert rows.where(coverage_predicate([("o", 1, 3), ("y", 2, 9)])).count() == 2
     assert rows.where(coverage_predicate([])).count() == 0
     assert {tuple(r) for r in applied_through(rows).collect()} == {("p", "o", 1), ("p", "y", 1)}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_sweeps_over_blocks_equal_plain_sets(spark, seed):
+    """Runs, gaps, differences, containment and loss counts over numbers on both sides of block ends, against sets."""
+    import random
+
+    from tidewright.operators import ranges as rg
+
+    rnd, edge = random.Random(seed), 1 << 16
+    spots = [1, 2, 50, edge - 2, edge - 1, edge, edge + 1, 2 * edge - 1, 2 * edge, 3 * edge + 7]
+    points = [(k, n) for k in ("a", "b") for n in {rnd.choice(spots) + rnd.randrange(4) for _ in range(25)}] + [("c", n) for n in range(edge - 3, 2 * edge + 3)]
+    df = spark.createDataFrame([*points, *points[:9], ("a", None), (None, 4), ("a", 0)], "k string, seq bigint")
+    runs, gaps = {}, {}
+    for key in ("a", "b", "c"):
+        have, last, start = sorted({n for k, n in points if k == key}), 0, None
+        for n in have:
+            if n > last + 1 or start is None:
+                if n > last + 1:
+                    gaps.setdefault(key, set()).add((last + 1, n - 1))
+                if start is not None:
+                    runs.setdefault(key, set()).add((start, last))
+                start = n
+            last = n
+        runs.setdefault(key, set()).add((start, last))
+    as_sets = lambda d: {(r.k, r.first_seq, r.last_seq) for r in d.collect()}
+    flat = lambda d: {(k, *x) for k, xs in d.items() for x in xs}
+    assert as_sets(rg.coverage_runs(df, ["k"])) == flat(runs) and as_sets(rg.coverage_gaps(df, ["k"])) == flat(gaps)
+
+    def some(n):
+        return [(k, f, f + rnd.randrange(6)) for k in ("a", "b") for f in (rnd.choice(spots) + rnd.randrange(3) for _ in range(n))]
+
+    a, b = some(12), some(8)
+    sides = [spark.createDataFrame([*x, (None, 1, 2)], "k string, first_seq bigint, last_seq bigint") for x in (a, b)]
+    cells = lambda rows: {(k, n) for k, f, l in rows for n in range(f, l + 1)}
+    assert cells(as_sets(rg.subtract_ranges(*sides, ["k"]))) == cells(a) - cells(b)
+    assert as_sets(rg.contained(*sides, ["k"])) == {x for x in a if any(x[0] == y[0] and y[1] <= x[1] and x[2] <= y[2] for y in b)}
+    assert as_sets(rg.overlapping(*sides, ["k"])) == {x for x in a if any(x[0] == y[0] and y[1] <= x[2] and x[1] <= y[2] for y in b)}
+    inside = rg.covered(df, sides[1], ["k"]).where("k is not null and seq is not null")
+    assert {tuple(r) for r in inside.collect()} == {p for p in points if p in cells(b)}
+    lost = rg.union_ranges(sides[1], ["k"])
+    counted = rg.covered_count(df.where("k is not null and seq > 0").distinct(), F.col("seq"), lost, ["k"], "n").collect()
+    assert all(r.n == sum(k == r.k and n <= r.seq for k, n in cells(b)) for r in counted)

@@ -6,7 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidewright.operators.lateness import classify, past_cut_off, period_aggregates
+from tidewright.operators.lateness import classify, ordered_aggregates, past_cut_off, period_aggregates
 from tidewright.streaming.kslack import period_counts
 
 SLOW = settings(max_examples=3, deadline=None, suppress_health_check=list(HealthCheck))
@@ -64,3 +64,27 @@ def test_stream_corrects_then_finalises(spark, tmp_path):
         found[mode] = [r[2] for r in rows if r[1].replace(tzinfo=None) == T0.replace(tzinfo=None)]
     assert found["update"] == [2, 3]  # published, then corrected by the late record; the one beyond the slack is left out
     assert found["append"] == [3]
+
+
+@SLOW
+@given(logs, recs)
+def test_ordered_aggregates(spark, log, rec):
+    w = spark.createDataFrame([("n", k, e, p, at(c), at(a)) for k, (p, c, a, e) in enumerate(log)], LOG)
+    r = spark.createDataFrame([(p, "o", k, ms(t), ms(o), "abc"[k % 3] if k % 4 else None, "y") for k, (p, t, o) in enumerate(rec)] * 2, REC)
+    fates = classify(r, w, F.col("ts"), F.col("observed_ts"))
+    got = {(x.partition, x.period_start_ms): tuple(x)[2:] for x in ordered_aggregates(fates, ["partition", "origin", "seq"], "steps", slice_ms=120_000).collect()}
+    groups = {}
+    for x in fates.dropDuplicates(["partition", "seq"]).where("fate <> 'rejected' and ts_ms is not null").orderBy("ts_ms", "seq").collect():
+        groups.setdefault((x.partition, x.ts_ms // 3_600_000 * 3_600_000), []).append((x.ts_ms, x.steps, x.fate == "final"))
+
+    def walk(rows):
+        pairs = list(zip(rows, rows[1:]))
+        return sum(a[1] != b[1] for a, b in pairs), max((b[0] - a[0] for a, b in pairs), default=None)
+
+    want = {}
+    for k, rows in groups.items():
+        out = [x for x in rows if x[2]]
+        assert rows[: len(out)] == out  # what is released comes first
+        (c, g), (cf, gf) = walk(rows), walk(out)
+        want[k] = (len(rows), len(out), c, cf, g, gf)
+    assert got == want

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidewright.operators.components import components
-from tidewright.operators.redelivery import BUCKET_BITS, SeenStore, bit_is_set, duplicates
+from tidewright.operators.redelivery import BUCKET_BITS, SeenStore, admit_in_batches, bit_is_set, duplicates
 
 SLOW = settings(max_examples=2, deadline=None, suppress_health_check=list(HealthCheck))
 SCHEMA = "line_id bigint, tenant string, request_id string, source_incarnation string, first_index bigint, `set` string"
@@ -88,3 +88,32 @@ def test_components_of_chains_and_cycles(spark):
     got = {tuple(r) for r in components(spark.createDataFrame(edges, "u bigint, m bigint")).collect()}
     assert got == {(k, 1) for k in range(2, 41)} | {(101, 100), (102, 100), (300, 200)}
     assert components(spark.createDataFrame([], "u bigint, m bigint")).count() == 0
+
+
+def test_codes_without_bits_were_not_seen(spark, tmp_path):
+    """A consumer that died after it published codes leaves nothing that makes a line a repetition."""
+    lines = spark.createDataFrame([(1, "t", "a", None, None, ""), (2, "t", "a", "i", 1, "")], SCHEMA)
+    store = SeenStore(spark, str(tmp_path), shards=2)
+
+    class Lost(SeenStore):
+        def _put(self, log, version):
+            if log == "_versions":
+                raise RuntimeError("lost before the bits are published")
+            return super()._put(log, version)
+
+    try:
+        Lost(spark, str(tmp_path), shards=2).admit(lines, "1")
+    except RuntimeError:
+        pass
+    assert store.dictionary().count() == 2 and store.bitmaps().count() == 0
+    assert {tuple(r) for r in store.admit(lines, "1").collect()} == {(1, 1), (2, 1)}
+    assert store.dictionary().count() == 2 and store.bitmaps().agg(F.sum(F.bitmap_count("bits"))).first()[0] == 2
+
+
+@SLOW
+@given(st.lists(line, max_size=30))
+def test_batches_resolve_to_the_same_requests(spark, tmp_path_factory, lines):
+    rows = [(k * 7 % 31 + 1, *x) for k, x in enumerate(lines)]
+    df = spark.createDataFrame([(*r, k % 4 if k % 5 else None) for k, r in enumerate(rows)], SCHEMA + ", batch_id bigint")
+    got = {r.line_id: r.kept_line_id for r in admit_in_batches(SeenStore(spark, str(tmp_path_factory.mktemp("seen")), shards=4), df, "batch_id", 3).collect()}
+    assert got == brute(rows)

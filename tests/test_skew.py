@@ -55,3 +55,31 @@ def test_heavy_keys_threshold_is_exclusive_and_counts_nulls(spark):
     df = spark.createDataFrame(rows, "tenant string, partition string").withColumn("__task", F.lit(1)).withColumn("n_rows", F.lit("x"))
     got = {(r.field, r.key_value, r.n_rows, r.of_rows) for r in heavy_keys({"t": df}, ["tenant", "partition"], 0.05).collect()}
     assert got == {("tenant", "b", 6, 100), ("partition", "p", 6, 100), ("partition", "q", 89, 100)}
+
+
+def test_joins_need_no_exchange_but_the_planned_ones(spark, hot):
+    right = spark.createDataFrame([("hot", 1), ("k5", 2)], "k string, w int")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = fragment_join(hot, right, ["k"], ["seq"])
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert plan.count("shufflepartitionidpassthrough") == 2 and "hashpartitioning" not in plan
+    assert joined.where("w = 1").count() == 10_000
+
+
+def test_loads_are_estimated_from_a_sample(spark, hot, monkeypatch):
+    from tidewright.operators import skew
+
+    monkeypatch.setattr(skew, "SAMPLE_ROWS", 3000)
+    plan = plan_loads(hot, ["k"], 8)
+    assert 2000 < plan.total < 4000 and plan.heavy[0][0] == ("hot",) and len(plan.heavy[0][2]) >= 3
+
+
+def test_wide_sides_are_not_broadcast(spark, monkeypatch):
+    from tidewright.operators import skew
+
+    monkeypatch.setattr(skew, "BROADCAST_BYTES", 10_000)
+    assert skew.is_small(spark.range(100)) and not skew.is_small(spark.range(3).select(F.repeat(F.lit("x"), 9000).alias("x"))) and not skew.is_small(spark.range(11), 10)
