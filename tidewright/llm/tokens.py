@@ -13,6 +13,7 @@ import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -72,11 +73,17 @@ def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def encode_batches(texts: list[str], path: str) -> Iterator[tuple[int, int, list[list[int]]]]:
-    """The ids of each range of texts: first, end, ids."""
+def encodings(texts: list[str], path: str) -> Iterator[tuple[int, int, list]]:
+    """The library's encodings of each range of texts: first, end, encodings."""
     model = tokenizer(path)
     for a, b in _chunks(texts):
-        yield a, b, [e.ids for e in model.encode_batch_fast(texts[a:b], add_special_tokens=False)]
+        yield a, b, model.encode_batch_fast(texts[a:b], add_special_tokens=False)
+
+
+def encode_batches(texts: list[str], path: str) -> Iterator[tuple[int, int, list[list[int]]]]:
+    """The ids of each range of texts: first, end, ids."""
+    for a, b, found in encodings(texts, path):
+        yield a, b, [e.ids for e in found]
 
 
 def _text_column(batch: pa.RecordBatch, name: str) -> list[str]:
@@ -86,7 +93,7 @@ def _text_column(batch: pa.RecordBatch, name: str) -> list[str]:
 def _lists(rows: list[list[int]]) -> pa.Array:
     sizes = np.fromiter((len(r) for r in rows), np.int64, len(rows))
     offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-    flat = np.fromiter((x for r in rows for x in r), np.int32, int(offsets[-1]))
+    flat = np.fromiter(chain.from_iterable(rows), np.int32, int(offsets[-1]))
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
@@ -113,8 +120,8 @@ def count_tokens(docs: DataFrame, text: str = "text", keep: list[str] | None = N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, ids in encode_batches(_text_column(batch, text), path):
-                yield _with(batch.slice(a, b - a), keep, out, pa.array([len(r) for r in ids], pa.int64()))
+            for a, b, found in encodings(_text_column(batch, text), path):
+                yield _with(batch.slice(a, b - a), keep, out, pa.array([len(e) for e in found], pa.int64()))
 
     return docs.select(*keep, text).mapInArrow(run, T.StructType([*[docs.schema[c] for c in keep], T.StructField(out, T.LongType())]))
 
