@@ -19,24 +19,30 @@ def ack_ready(batches: DataFrame, receipts: DataFrame, replicas: int) -> DataFra
     return out.withColumn("ready", F.col("holders") >= replicas - 1)
 
 
-def apply_outcomes(forwards: DataFrame, applied: DataFrame, fences: DataFrame, node: str) -> DataFrame:
+def apply_outcomes(forwards: DataFrame, applied: DataFrame, fences: DataFrame, node: str, records: DataFrame | None = None) -> DataFrame:
     """The outcome of each forwarded range at ``node``: forwards (partition, origin, incarnation, first_seq, last_seq) against applied marks and fences.
 
-    Outcomes in order of precedence: invalid_range, self_origin_refused, fenced, duplicate_acked, gap_refused, applied. A range that straddles
-    the mark is refused like a gap.
+    Outcomes in order of precedence: invalid_range, self_origin_refused, fenced, duplicate_acked or suspect_duplicate, gap_refused, applied. A range that
+    straddles the mark is refused like a gap. ``records`` (partition, origin, seq) are those that the node holds; a range below the mark
+    whose last record isn't among them is suspect. Without them every such range is a duplicate.
     """
     marks = applied.groupBy(*PO).agg(F.max("applied_seq").alias("mark"))
     fence = fences.groupBy(F.col("node").alias("origin")).agg(F.max("incarnation").alias("newest"))
     thru = F.coalesce("mark", F.lit(0))
+    columns, has = forwards.columns, F.lit(True)
+    if records is not None:
+        held = records.select(F.col("partition").alias("h_p"), F.col("origin").alias("h_o"), F.col("seq").alias("h_s")).distinct().withColumn("has", F.lit(True))
+        forwards = forwards.join(held, (F.col("partition") == F.col("h_p")) & (F.col("origin") == F.col("h_o")) & (F.col("last_seq") == F.col("h_s")), "left").drop("h_p", "h_o", "h_s")
+        has = F.coalesce("has", F.lit(False))
     out = (
         F.when(F.col("first_seq") > F.col("last_seq"), "invalid_range")
         .when(F.col("origin") == node, "self_origin_refused")
         .when(F.col("incarnation") < F.col("newest"), "fenced")
-        .when(F.col("last_seq") <= thru, "duplicate_acked")
+        .when(F.col("last_seq") <= thru, F.when(has, "duplicate_acked").otherwise("suspect_duplicate"))
         .when(F.col("first_seq") != thru + 1, "gap_refused")
         .otherwise("applied")
     )
-    return forwards.join(marks, PO, "left").join(fence, "origin", "left").select(*forwards.columns, out.alias("outcome"))
+    return forwards.join(marks, PO, "left").join(fence, "origin", "left").select(*columns, out.alias("outcome"))
 
 
 def admitted_incarnations(requests: DataFrame) -> DataFrame:

@@ -98,6 +98,20 @@ def ledger_errors(manifests: DataFrame) -> DataFrame:
     return twice.unionAll(bad).unionAll(times).unionAll(meets).distinct()
 
 
+def sequence_errors(manifests: DataFrame) -> DataFrame:
+    """Manifests that the ledger can't take next: partition, window_id, error.
+
+    dataset_mismatch (the partition's first window, the least by number and name, is of another dataset), window_not_next (a window whose
+    predecessor, or for the first window number 0, is missing). Windows of partitions with a null name count for nothing.
+    """
+    rows = manifests.where("partition is not null and dataset is not null and window_id is not null").select("dataset", "partition", "window_id").distinct()
+    first = rows.groupBy("partition").agg(F.min(F.struct("window_id", "dataset")).alias("first"))
+    other = rows.join(first, "partition").where(F.col("dataset") != F.col("first.dataset")).select("partition", "window_id", F.lit("dataset_mismatch").alias("error"))
+    before = F.coalesce(F.lag("window_id").over(Window.partitionBy("partition").orderBy("window_id")), F.lit(-1))
+    jumps = rows.select("partition", "window_id").distinct().withColumn("before", before).where("window_id <> before + 1").select("partition", "window_id", F.lit("window_not_next").alias("error"))
+    return other.unionAll(jumps).distinct()
+
+
 def loss_refusals(requests: DataFrame, live: DataFrame, consent: bool) -> DataFrame:
     """Which loss declarations (partition, origin, first_seq, last_seq) are refused, and why; accepted ones have a null refusal.
 

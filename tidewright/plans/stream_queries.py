@@ -151,6 +151,24 @@ def dedup_conflicts(spark, folder):
     return predicates.unjudgeable_slots(table(spark, folder, "changelog"))
 
 
+@R.add("conflicting_keys", "SELECT dataset, changelog_key, count(*) AS versions FROM (SELECT DISTINCT dataset, changelog_key, tenant FROM changelog WHERE event = 'ClientAck') GROUP BY ALL HAVING count(*) > 1")
+def conflicting_keys(spark, folder):
+    """Keys that are alike across tenants, so that a view keyed without the tenant would mix them up."""
+    return dedup.conflicts(table(spark, folder, "changelog").where("event = 'ClientAck'"), ["dataset", "changelog_key"], ["tenant"])
+
+
+@R.add(
+    "sequence_errors",
+    """WITH r AS (SELECT DISTINCT dataset, partition, window_id FROM window_manifests WHERE dataset IS NOT NULL AND partition IS NOT NULL AND window_id IS NOT NULL),
+f AS (SELECT partition, arg_min(dataset, (window_id, dataset)) AS d FROM r GROUP BY partition),
+w AS (SELECT partition, window_id, coalesce(lag(window_id) OVER (PARTITION BY partition ORDER BY window_id), -1) AS b FROM (SELECT DISTINCT partition, window_id FROM r))
+SELECT DISTINCT r.partition, r.window_id, 'dataset_mismatch' AS error FROM r JOIN f USING (partition) WHERE r.dataset <> f.d UNION SELECT partition, window_id, 'window_not_next' FROM w WHERE window_id <> b + 1""",
+)
+def sequence_errors(spark, folder):
+    """Windows that the ledger would refuse for their dataset or their place."""
+    return watermark.sequence_errors(table(spark, folder, "window_manifests"))
+
+
 # windows, watermark
 
 
@@ -389,6 +407,16 @@ def apply_outcomes(spark, folder):
     return replication.apply_outcomes(forwards, applied, fences, "n9").drop("incarnation")
 
 
+@R.add("apply_outcomes_fenced", f"WITH f AS ({_FWD}), m AS (SELECT partition, origin, max(applied_seq) AS a FROM applied_log WHERE status = 'committed' AND applied_seq > 0 GROUP BY ALL), n AS (SELECT origin FROM f GROUP BY origin ORDER BY origin LIMIT 2), h AS (SELECT DISTINCT partition, origin, seq FROM otlp_logs) SELECT f.partition, f.origin, f.first_seq, f.last_seq, CASE WHEN first_seq > last_seq THEN 'invalid_range' WHEN f.origin = 'n9' THEN 'self_origin_refused' WHEN f.origin IN (SELECT origin FROM n) THEN 'fenced' WHEN last_seq <= coalesce(a, 0) THEN CASE WHEN h.seq IS NOT NULL THEN 'duplicate_acked' ELSE 'suspect_duplicate' END WHEN first_seq <> coalesce(a, 0) + 1 THEN 'gap_refused' ELSE 'applied' END AS outcome FROM f LEFT JOIN m USING (partition, origin) LEFT JOIN h ON h.partition = f.partition AND h.origin = f.origin AND h.seq = f.last_seq")
+def apply_outcomes_fenced(spark, folder):
+    """The same with a newer incarnation of the two first origins known, and duplicates checked against the records that are held."""
+    m = table(spark, folder, "window_manifests").where("dataset = 'otlp_logs'").select("partition", F.explode("origin_coverage").alias("r")).select("partition", "r.*")
+    forwards = m.where("origin is not null and first_seq is not null and last_seq is not null").distinct().withColumn("incarnation", F.lit(1))
+    applied = _marks(spark, folder).select(*PO, F.col("last_seq").alias("applied_seq"))
+    fences = forwards.select(F.col("origin").alias("node")).distinct().orderBy("node").limit(2).withColumn("incarnation", F.lit(2))
+    return replication.apply_outcomes(forwards, applied, fences, "n9", _logs(spark, folder, *PO, "seq")).drop("incarnation")
+
+
 @R.add("holder_resolution", "WITH o AS (SELECT partition, max(complete_through_ms) AS through FROM watermark_log WHERE event = 'LakeCommitOk' GROUP BY partition), c AS (SELECT partition, node, bool_or(event = 'LakeCommitOk') AS own, max(complete_through_ms) AS thru FROM watermark_log GROUP BY ALL) SELECT o.partition, o.through, (SELECT arg_max(c.node, (c.own, c.thru, c.node)) FROM c WHERE c.partition = o.partition AND (c.own OR c.thru >= o.through)) AS holder FROM o")
 def holder_resolution(spark, folder):
     """The node that serves each partition: one that committed it, else one that advertised far enough."""
@@ -526,6 +554,39 @@ def outcome_tallies(spark, folder):
     return predicates.outcome_tallies(table(spark, folder, "client_acks"))
 
 
+_READS = "SELECT partition, tenant, complete_through_ms FROM client_acks WHERE partition IS NOT NULL AND complete_through_ms IS NOT NULL"
+
+
+def _reads(spark, folder):
+    """Complete reads, for which the lines that name a partition and a bound stand in."""
+    lines = table(spark, folder, "client_acks").where("partition is not null and complete_through_ms is not null")
+    return lines.select("partition", "tenant", "complete_through_ms", F.lit("complete").alias("concern"), F.lit("served").alias("outcome"))
+
+
+@R.add("unproven_reads", f"WITH r AS ({_READS}), b AS (SELECT partition, max(complete_through_ms) AS bound_ms FROM watermark_log WHERE event = 'LakeCommitOk' GROUP BY partition) SELECT partition, complete_through_ms AS served_ms, bound_ms FROM r LEFT JOIN b USING (partition) WHERE bound_ms IS NULL OR complete_through_ms > bound_ms")
+def unproven_reads(spark, folder):
+    """Complete answers beyond anything that was committed for their partition."""
+    return predicates.unproven_reads(table(spark, folder, "watermark_log"), _reads(spark, folder))
+
+
+@R.add("undisturbed_medians", "WITH x AS (SELECT node, max_event_time_ms - first_index AS v, row_number() OVER (PARTITION BY node ORDER BY max_event_time_ms - first_index) AS k, count(*) OVER (PARTITION BY node) AS n FROM client_acks WHERE max_event_time_ms - first_index IS NOT NULL) SELECT node, max(v) FILTER (k = n // 2 + 1 AND n >= 20) AS median FROM x GROUP BY node")
+def undisturbed_medians(spark, folder):
+    """The upper median of a measure of each node's lines, null for nodes with fewer than 20."""
+    rows = table(spark, folder, "client_acks").select("node", (F.col("max_event_time_ms") - F.col("first_index")).alias("v")).where("v is not null")
+    return rows.groupBy("node").agg(predicates.upper_median(F.col("v"), 20).alias("median"))
+
+
+@R.add("audit_verdicts", "WITH n AS (SELECT node, max(seq) - min(seq) + 1 - count(DISTINCT seq) AS missing, count(*) - count(DISTINCT seq) AS twice FROM client_acks GROUP BY node), c AS (SELECT CASE WHEN count(*) = 0 THEN 3 WHEN count(*) FILTER (missing > 0 OR twice > 0) > 0 THEN 2 ELSE 0 END AS gaps FROM n), p AS (SELECT CASE WHEN count(*) FILTER (partition IS NOT NULL) = 0 THEN 3 ELSE 0 END AS seen FROM client_acks) SELECT 'journal_gaps' AS audit, gaps AS code FROM c UNION ALL SELECT 'partitions_named', seen FROM p UNION ALL SELECT 'nothing_checked', 3 UNION ALL SELECT 'all', CASE WHEN gaps = 2 THEN 2 ELSE 3 END FROM c")
+def audit_verdicts(spark, folder):
+    """Codes of three audits, one of which checks nothing, and of all together."""
+    acks = table(spark, folder, "client_acks")
+    gaps = predicates.journal_gaps(acks)
+    n, bad = gaps.agg(F.count(F.lit(1)), F.count_if(F.expr("missing > 0 or repeated > 0"))).first()
+    named = acks.where("partition is not null").count()
+    codes = {"journal_gaps": predicates.verdict(bad, n), "partitions_named": predicates.verdict(0, named), "nothing_checked": predicates.verdict(0, 0)}
+    return spark.createDataFrame([*codes.items(), ("all", predicates.combined(list(codes.values())))], "audit string, code int")
+
+
 @R.add("journal_gaps", "WITH p AS (SELECT node, seq, count(*) AS c FROM client_acks GROUP BY ALL) SELECT node, max(seq) - min(seq) + 1 - count(*) AS missing, count(*) FILTER (c > 1) AS repeated FROM p GROUP BY node")
 def journal_gaps(spark, folder):
     """Missing and repeated numbers of each node's journal."""
@@ -543,6 +604,15 @@ def staged_bytes(spark, folder):
     return upkeep.staged_bytes(_logs(spark, folder, "partition", "origin", "seq", "body", "severity_text", "observed_ts"), ["partition"])
 
 
+_WIDTHS = {"strlen({c})": "tenant partition origin severity_text body attrs resource_attrs scope_name scope_version trace_id span_id event_name", "8 + 0 * {c}": "window_id seq flags dropped_attributes_count", "4 + 0 * {c}": "severity_number", "CASE WHEN {c} IS NOT NULL THEN 8 END": "ts observed_ts"}
+
+
+@R.add("staged_content", "SELECT partition, sum(" + " + ".join(f"coalesce({form.format(c=c)}, 0)" for form, names in _WIDTHS.items() for c in names.split()) + ")::BIGINT AS staged_bytes FROM otlp_logs GROUP BY partition")
+def staged_content(spark, folder):
+    """Content bytes staged per partition, over all columns."""
+    return upkeep.staged_bytes(table(spark, folder, "otlp_logs"), ["partition"])
+
+
 @R.add("retention_expired", "SELECT DISTINCT dataset, partition, window_id, part_kind FROM window_manifests WHERE NOT coalesce(expired, false) AND part_kind <> 'snapshot' AND event_time_max_ms + CASE WHEN starts_with(partition, '_') THEN 72 * 3600000 WHEN starts_with(partition, 'fjord') THEN 3600000 ELSE 30 * 86400000::BIGINT END < 1770163200000")
 def retention_expired(spark, folder):
     """Windows past their retention, with an hour for some tenants."""
