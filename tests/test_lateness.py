@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidewright.operators.lateness import classify, ordered_aggregates, past_cut_off, period_aggregates
-from tidewright.streaming.kslack import period_counts
+from tidewright.streaming.kslack import period_counts, released
 
 SLOW = settings(max_examples=3, deadline=None, suppress_health_check=list(HealthCheck))
 LOG = "node string, seq bigint, event string, partition string, complete_through_ms bigint, at_ms bigint"
@@ -88,3 +88,18 @@ def test_ordered_aggregates(spark, log, rec):
         (c, g), (cf, gf) = walk(rows), walk(out)
         want[k] = (len(rows), len(out), c, cf, g, gf)
     assert got == want
+
+
+def test_stream_releases_in_order(spark, tmp_path):
+    src, rows = str(tmp_path / "in"), []
+    schema = "k string, ts timestamp, p string"
+    batches = [[("a", ms(20), "r20"), ("a", ms(5), "r5"), ("b", ms(7), "s7")], [("a", ms(3), "r3")], [("a", ms(60), "r60")], [("a", ms(10), "late"), ("a", ms(45), "r45")], [("a", ms(200), "r200")]]
+    for batch in batches:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(src)
+        out = released(spark.readStream.schema(schema).parquet(src), "ts", "20 minutes", "k", "p")
+        q = out.writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(lambda df, i: rows.extend(tuple(r) for r in df.collect())).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    final = {k: [(r[2], r[4]) for r in rows if r[0] == "final" and r[1] == k] for k in "ab"}
+    assert final == {"a": [(1, "r3"), (2, "r5"), (3, "r20"), (4, "r45"), (5, "r60")], "b": [(1, "s7")]}
+    waiting = [r[5] for r in rows if r[0] == "provisional" and r[1] == "a"]
+    assert waiting[0] == 2 and waiting[-1] == 1
