@@ -21,8 +21,10 @@ from tidewright.session import materialise
 
 #: Ranks are cut to so many bits; documents of equal rank are taken together.
 RANK_BITS = 32
-#: The control table and the weight classes are for the driver; more than this is refused.
-MAX_SOURCES, WEIGHT_CLASSES = 100_000, 64
+#: The control table is for the driver; more sources than this are refused.
+MAX_SOURCES = 100_000
+#: Weights are summed for the plan in classes of a factor 2**(1/16): at most some 34 000 a source, as doubles have no more.
+CLASSES_PER_OCTAVE = 16
 
 
 @dataclass(frozen=True)
@@ -38,14 +40,12 @@ class Share:
 
 
 def _sizes(docs: DataFrame, tokenizer: str, weight: str | None) -> DataFrame:
-    """doc_id, source, n_tokens, cls of all documents that have tokens and a source; cls is the class of the weight."""
+    """doc_id, source, n_tokens, w of all documents that have tokens, a source and a positive, finite weight ``w`` (1 without ``weight``)."""
     keep = ["doc_id", "source", *([weight] if weight else [])]
     counted = count_tokens(docs, keep=keep, path=tokenizer).where("n_tokens > 0 and source is not null")
-    # classes of a factor 2**(1/4): between 1/256 and 256, nearest bound beyond; no or no positive weight: never drawn
-    cls = F.round(F.log2(F.col(weight)) * 4).cast("int") if weight else F.lit(0)
-    bounded = F.greatest(F.lit(-WEIGHT_CLASSES // 2), F.least(F.lit(WEIGHT_CLASSES // 2), cls))
-    cls = F.when(F.col(weight) > 0, bounded) if weight else cls
-    return materialise(counted.select("doc_id", "source", "n_tokens", cls.alias("cls")).where("cls is not null"), "sizes")
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    # no, negative or infinite weight: never drawn
+    return materialise(counted.select("doc_id", "source", "n_tokens", w.alias("w")).where("w > 0 and w < double('infinity')"), "sizes")
 
 
 def plan_mix(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> list[Share]:
@@ -60,16 +60,17 @@ def plan_mix(sizes: DataFrame, targets: DataFrame, total: int | None = None) ->
         raise ValueError(f"more than {MAX_SOURCES} target sources")
     wanted = {r["source"]: (float(r["share"] or 0.0), int(r["cap"] or 0)) for r in rows}
     names = sizes.sparkSession.createDataFrame([(s,) for s in wanted], "source string")
-    have: dict[str, dict[int, int]] = {}
-    for r in sizes.join(F.broadcast(names), "source").groupBy("source", "cls").agg(F.sum("n_tokens").alias("n")).collect():
-        have.setdefault(r["source"], {})[r["cls"]] = r["n"]
+    have: dict[str, dict[int, tuple[int, float]]] = {}
+    cls = F.floor(F.log2("w") * CLASSES_PER_OCTAVE).cast("int").alias("cls")
+    for r in sizes.join(F.broadcast(names), "source").groupBy("source", cls).agg(F.sum("n_tokens").alias("n"), F.sum(F.col("w") * F.col("n_tokens")).alias("wn")).collect():
+        have.setdefault(r["source"], {})[r["cls"]] = (r["n"], r["wn"])
     usable = {s: (share, cap) for s, (share, cap) in wanted.items() if share > 0 and cap > 0 and s in have}
     scale = sum(share for share, _ in usable.values())
-    most = [cap * sum(have[s].values()) / (share / scale) for s, (share, cap) in usable.items()]
+    most = [cap * sum(n for n, _ in have[s].values()) / (share / scale) for s, (share, cap) in usable.items()]
     size = int(min(most, default=0)) if total is None else total
     out = []
     for s, (share, cap) in sorted(wanted.items()):
-        tokens = sum(have.get(s, {}).values())
+        tokens = sum(n for n, _ in have.get(s, {}).values())
         if s not in usable:
             out.append(Share(s, share, cap, tokens, 0, 0.0))
             continue
@@ -78,22 +79,23 @@ def plan_mix(sizes: DataFrame, targets: DataFrame, total: int | None = None) ->
     return out
 
 
-def _weight(cls: int) -> float:
-    return 2.0 ** (cls / 4)
+def _factor(classes: dict[int, tuple[int, float]], goal: int, cap: int) -> float:
+    """The factor at which copies min(cap, factor * weight) of all documents make up ``goal`` tokens (bisection over the classes).
 
-
-def _factor(classes: dict[int, int], goal: int, cap: int) -> float:
-    """The factor at which copies min(cap, factor * weight) of all documents make up ``goal`` tokens (bisection over the classes)."""
+    A class's tokens and weighted tokens are exact sums, so only the one class that the cap falls into is rounded, to its mean weight.
+    """
     def made(f: float) -> float:
-        return sum(min(cap, f * _weight(c)) * n for c, n in classes.items())
+        return sum(min(cap * n, f * wn) for n, wn in classes.values())
 
-    low, high = 0.0, cap / min(_weight(c) for c in classes)
+    low, high = 0.0, cap * max(n / wn for n, wn in classes.values())
     if made(high) <= goal:
-        return high
+        # the least weight of a class may be below its mean
+        return high * 2.0 ** (1 / CLASSES_PER_OCTAVE)
     for _ in range(200):
         mid = (low + high) / 2
         low, high = (mid, high) if made(mid) <= goal else (low, mid)
-    return low
+    # sums of weights may differ in their last bits from run to run
+    return float(f"{low:.12g}")
 
 
 def _rank(chance: Column, seed: int) -> Column:
@@ -116,7 +118,7 @@ def mix(docs: DataFrame, targets: DataFrame, *, total: int | None = None, seed:
     used = spark.createDataFrame([(p.source, p.max_repeats, float(p.goal), p.factor) for p in plan if p.goal > 0], "source string, cap int, goal double, factor double")
     # at most MAX_SOURCES rows
     rows = sizes.join(F.broadcast(used), "source")
-    copies = F.least(F.col("cap").cast("double"), F.col("factor") * F.pow(F.lit(2.0), F.col("cls") / 4))
+    copies = F.least(F.col("cap").cast("double"), F.col("factor") * F.col("w"))
     rows = rows.withColumn("whole", F.least(F.floor(copies + 1e-9), F.col("cap"))).withColumn("chance", F.greatest(copies - F.col("whole"), F.lit(0.0)))
     drawn = F.col("chance") > 1e-9
     rows = rows.withColumn("rank", F.when(drawn, _rank(F.least(F.col("chance"), F.lit(1 - 1e-9)), seed)))

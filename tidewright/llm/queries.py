@@ -37,6 +37,13 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
 
 
+@R.add("p8_weighted")
+def p8_weighted(spark: SparkSession, folder: str) -> DataFrame:
+    """A mix in which a document's chance grows with the root of its length: target and reached share of every source."""
+    docs = table(spark, folder, "documents").withColumn("w", F.sqrt(F.length("text")))
+    return mix(docs, table(spark, folder, "mix_targets"), weight="w")[1]
+
+
 @R.add("p9_found")
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold residue instead of content."""
