@@ -239,3 +239,19 @@ def test_paths_without_scheme_belong_to_the_default_file_system(spark, tmp_path)
     finally:
         conf.set("fs.defaultFS", old or "file:///")
     assert (tmp_path / "mounted" / "v" / "1.json").read_bytes() == b"x" and (tmp_path / "mounted" / "t").is_dir()
+
+
+def test_changelog_parts_expire_under_a_snapshot_only(spark, tmp_path):
+    from tidewright.sources.commitlog import LakeLog
+    from tidewright.types import LedgerError
+
+    lake = LakeLog(spark, str(tmp_path))
+    span = lambda a, b: [{"origin": "o", "first_seq": a, "last_seq": b}]
+    m = {"dataset": "d", "partition": "p", "rows": 1, "event_time_min_ms": 1, "event_time_max_ms": 2, "dedup_removed": 0, "discriminator": 0}
+    for k, (kind, cover) in enumerate([("primary", span(1, 5)), ("primary", span(6, 9)), ("snapshot", span(1, 7))]):
+        lake.commit_files(m | {"window_id": k, "parts": [f"part{k}"], "part_kind": kind, "origin_coverage": cover}, None)
+    with pytest.raises(LedgerError):
+        lake.expire(["part0", "part1"], require_snapshot=True)
+    assert len(lake.live_files("d")) == 2
+    lake.expire(["part0"], require_snapshot=True)
+    assert lake.live_files("d") == [f"{tmp_path}/part1"]
