@@ -32,7 +32,7 @@ WITH RECURSIVE l AS (
 
 
 #: Batches of the journal are admitted in so many groups, one after the other.
-P1_GROUPS = 3
+P1_GROUPS = 2
 
 
 def _admitted(spark: SparkSession, folder: str) -> tuple[SeenStore, DataFrame]:
