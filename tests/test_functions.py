@@ -106,3 +106,20 @@ def test_otlp_values_of_any_depth(spark):
     got = {r.severity_number: r for r in otlp.flatten_logs(spark.createDataFrame(rows, "j string").select(otlp.parse_request(F.col("j")).alias("request"))).collect()}
     for k in depths:
         assert json.loads(got[k].body) == plain(k) and json.loads(got[k].attrs) == {"x": plain(k), "z": "{", "none": None} and json.loads(got[k].resource_attrs) == {"r": plain(k)}
+
+
+def test_no_record_carries_its_request_through_the_udf(spark, tmp_path):
+    record = {"timeUnixNano": "1000", "body": {"stringValue": "b"}, "attributes": [{"key": "k", "value": {"intValue": "1"}}]}
+    unusual = [{"key": "d", "value": {"doubleValue": 0.5}}]
+    request = {"resourceLogs": [{"resource": {"attributes": unusual}, "scopeLogs": [{"scope": {"name": "n", "version": "1"}, "logRecords": [record] * 3}]}]}
+    spark.createDataFrame([(json.dumps(request),)], "j string").select(otlp.parse_request(F.col("j")).alias("request")).write.parquet(str(tmp_path / "r"))
+    flat = otlp.flatten_logs(spark.read.parquet(str(tmp_path / "r")))
+    seen, plans = [], [flat._jdf.queryExecution().optimizedPlan()]
+    while plans:
+        plan = plans.pop()
+        below = [plan.children().apply(k) for k in range(plan.children().size())]
+        if plan.nodeName() == "ArrowEvalPython":
+            seen += [below[0].output().apply(k).dataType().catalogString() for k in range(below[0].output().size())]
+        plans += below
+    assert seen and not [t for t in seen if "array" in t]
+    assert {(r.attrs, r.resource_attrs, r.scope_name, r.scope_version) for r in flat.collect()} == {('{"k":1}', '{"d":0.5}', "n", "1")} and flat.count() == 3

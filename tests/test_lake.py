@@ -2,8 +2,10 @@
 
 import datetime as dt
 import json
+import os
 import threading
 import time
+from urllib.parse import urlparse
 
 import pytest
 from pyspark.sql import functions as F
@@ -255,3 +257,27 @@ def test_changelog_parts_expire_under_a_snapshot_only(spark, tmp_path):
     assert len(lake.live_files("d")) == 2
     lake.expire(["part0"], require_snapshot=True)
     assert lake.live_files("d") == [f"{tmp_path}/part1"]
+
+
+def test_landing_and_draining_leave_only_what_the_logs_name(spark, tmp_path):
+    from tidewright.session import shared_dir
+
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {n for n in (blocks.getAllBlocks().apply(k).toString() for k in range(blocks.getAllBlocks().size())) if n.startswith("shuffle_") and n.endswith(".data")}
+    before, files = set(os.listdir(urlparse(shared_dir(spark)).path)), shuffles()
+    setting = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    landing, lake = Landing(spark, str(tmp_path / "landing"), "n1", window_ms=1), LakeLog(spark, str(tmp_path / "lake"))
+    land(spark, landing, [("t", f"{k}", request("ab", k)) for k in range(40)], 0, 1000)
+    with pytest.raises(InvalidInput):
+        land(spark, landing, [("t", "x", "{")], 1, 2000)
+    assert [o for *_, o in drain(spark, landing, lake, LOGS, 2**60, lateness_ms=0)] == [COMMITTED]
+    assert [o for *_, o in drain(spark, landing, lake, LOGS, 2**60, lateness_ms=0, transform="SELECT * FROM {rows}")] == []
+    land(spark, landing, [("t", "late", request("c"))], 2, 90_000)
+    assert [o for *_, o in drain(spark, landing, lake, LOGS, 2**60, lateness_ms=0, transform="SELECT * FROM {rows}")] == [COMMITTED]
+    assert Engine(spark, lake, [LOGS]).view("logs").count() == 81
+    assert {n.rpartition("-")[0] for n in set(os.listdir(urlparse(shared_dir(spark)).path)) - before} <= {"ends", "losses"}
+    deadline = time.time() + 20  # files go in the background
+    while (left := len(shuffles() - files)) > 10 and time.time() < deadline:
+        time.sleep(0.5)
+    assert left <= 10
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting

@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import json
 import math
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -86,7 +87,8 @@ def _render(wire: pd.Series) -> pd.Series:
         v = json.loads(text)
         return _rendered({"kvlistValue": {"values": v}} if isinstance(v, list) else v)
 
-    return wire.map(one)
+    # a resource's text stands in each of its records
+    return wire.map(lru_cache(maxsize=64)(one)) if wire.notna().any() else wire
 
 
 def value_json(value: Column) -> Column:
@@ -95,15 +97,29 @@ def value_json(value: Column) -> Column:
     return F.when(known, _render(F.when(known, value))).otherwise("null")
 
 
-def attributes_json(pairs: Column) -> Column:
-    """A JSON object of attributes given as JSON text; pairs whose key is an interning reference are left out; without pairs ``{}``. Not for use in lambdas."""
-    flat = F.regexp_replace(pairs, _SIMPLE, "$1:$2$3$4")
+def _flat_attributes(pairs: Column) -> Column:
+    """Attributes with each pair that the pattern knows rendered."""
+    return F.regexp_replace(pairs, _SIMPLE, "$1:$2$3$4")
+
+
+def _is_simple(pairs: Column, flat: Column) -> Column:
+    """Whether the pattern knew all pairs; null for no attributes."""
     # in a quoted text a quote is escaped, so an opened object that is left is one that the pattern doesn't know
     odd = flat.rlike(r'\{[\s"}]') | pairs.rlike(r"\\[u/]|\},\s|^\[\s|\s\]$")
-    simple = (F.length(pairs) <= SIMPLE_CHARS) & pairs.startswith("[") & ~F.when(F.length(pairs) <= SIMPLE_CHARS, odd)
-    unusual = pairs.isNotNull() & ~simple
+    return (F.length(pairs) <= SIMPLE_CHARS) & pairs.startswith("[") & ~F.when(F.length(pairs) <= SIMPLE_CHARS, odd)
+
+
+def _simple_attributes(pairs: Column, flat: Column, simple: Column) -> tuple[Column, Column]:
+    """Attributes as the pattern renders them, and the text of those that it leaves to the UDF; one of both is null."""
     whole = F.concat(F.lit("{"), F.substring(flat, F.lit(2), F.length(flat) - 2), F.lit("}"))
-    return F.when(pairs.isNull(), "{}").when(simple, whole).otherwise(_render(F.when(unusual, pairs)))
+    return F.when(pairs.isNull(), "{}").when(simple, whole), F.when(pairs.isNotNull() & ~simple, pairs)
+
+
+def attributes_json(pairs: Column) -> Column:
+    """A JSON object of attributes given as JSON text; pairs whose key is an interning reference are left out; without pairs ``{}``. Not for use in lambdas."""
+    flat = _flat_attributes(pairs)
+    simple, unusual = _simple_attributes(pairs, flat, _is_simple(pairs, flat))
+    return F.coalesce(simple, _render(unusual))
 
 
 def ignored_references(pairs: Column) -> Column:
@@ -134,11 +150,25 @@ def _micros(nanos: Column) -> Column:
 
 
 def flatten_logs(requests: DataFrame, request: str = "request", keep: list[str] | None = None) -> DataFrame:
-    """Log records of parsed requests, with the columns ``keep`` of the request, in the flat 14-column form."""
+    """Log records of parsed requests, with the columns ``keep`` of the request, in the flat 14-column form.
+
+    What a level needs of the one above is taken out before it is exploded, and the UDF sees records only: a row that kept its resource or
+    scope would carry the whole request, and the UDF's buffer would hold a copy of the request for each of its records.
+    """
     keep = keep or []
     a = requests.select(*keep, F.explode(f"{request}.resourceLogs").alias("r"))
-    b = a.select(*keep, attributes_json(F.col("r.resource.attributes")).alias("resource_attrs"), F.explode("r.scopeLogs").alias("s"))
-    c = b.select(*keep, "resource_attrs", F.nullif(F.col("s.scope.name"), F.lit("")).alias("scope_name"), F.nullif(F.col("s.scope.version"), F.lit("")).alias("scope_version"), F.explode("s.logRecords").alias("l"))
+    pairs = F.col("r.resource.attributes")
+    flat = _flat_attributes(pairs)
+    simple, unusual = _simple_attributes(pairs, flat, _is_simple(pairs, flat))
+    above = [*keep, "__tw_simple", "__tw_unusual"]
+    b = a.select(*keep, simple.alias("__tw_simple"), unusual.alias("__tw_unusual"), F.col("r.scopeLogs").alias("__tw_scopes")).select(*above, F.explode("__tw_scopes").alias("s"))
+    scope = [F.nullif(F.col("s.scope.name"), F.lit("")).alias("scope_name"), F.nullif(F.col("s.scope.version"), F.lit("")).alias("scope_version")]
+    above = [*above, "scope_name", "scope_version"]
+    c = b.select(*above[:-2], *scope, F.col("s.logRecords").alias("__tw_records")).select(*above, F.explode("__tw_records").alias("l"))
+    # columns of their own, as each is used several times
+    c = c.select(*above, "l", _flat_attributes(F.col("l.attributes")).alias("__tw_flat"))
+    c = c.select(*above, "l", "__tw_flat", _is_simple(F.col("l.attributes"), F.col("__tw_flat")).alias("__tw_known"))
+    attributes, others = _simple_attributes(F.col("l.attributes"), F.col("__tw_flat"), F.col("__tw_known"))
     observed = F.coalesce(F.col("l.observedTimeUnixNano").cast("decimal(20,0)"), F.lit(0))
     return c.select(
         *keep,
@@ -147,8 +177,8 @@ def flatten_logs(requests: DataFrame, request: str = "request", keep: list[str]
         F.coalesce("l.severityNumber", F.lit(0)).alias("severity_number"),
         F.nullif(F.col("l.severityText"), F.lit("")).alias("severity_text"),
         body_text(F.col("l.body")).alias("body"),
-        attributes_json(F.col("l.attributes")).alias("attrs"),
-        "resource_attrs",
+        F.coalesce(attributes, _render(others)).alias("attrs"),
+        F.coalesce("__tw_simple", _render(F.col("__tw_unusual"))).alias("resource_attrs"),
         "scope_name",
         "scope_version",
         hex_id(F.unhex("l.traceId")).alias("trace_id"),

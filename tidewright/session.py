@@ -5,10 +5,13 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewright.sources.atomic import remove
+
 LOCAL_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -65,6 +68,50 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Deletes a query's shuffle files as it ends. Without it they stay until the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+class Scratch:
+    """What one call keeps on disk while it runs: ``table()`` is materialise(), but the files go when the call is over, or by ``free()``.
+
+    Queries that are built within the call delete their shuffle files as they end, so nothing that is built in it should be run twice (it would
+    shuffle again) or read after it.
+    """
+
+    _lock = threading.Lock()
+    #: Calls that run, and the setting that they found, by session.
+    _running: dict[str, tuple[int, str]] = {}
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self._session, self._paths = spark, spark._jsparkSession.sessionUUID(), {}
+
+    def __enter__(self) -> Scratch:
+        with self._lock:
+            n, found = self._running.get(self._session) or (0, self.spark.conf.get(_CLEANUP, "false"))
+            self._running[self._session] = (n + 1, found)
+            self.spark.conf.set(_CLEANUP, "true")
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        with self._lock:
+            n, found = self._running.pop(self._session)
+            if n > 1:
+                self._running[self._session] = (n - 1, found)
+            else:
+                self.spark.conf.set(_CLEANUP, found)
+        self.free(*self._paths)
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        self._paths[name] = path = scratch_path(df.sparkSession, name)
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def free(self, *names: str) -> None:
+        for name in names:
+            remove(self.spark, self._paths.pop(name))
+
+
 def parallelism(spark: SparkSession) -> int:
     """Tasks to plan for: at least the shuffle partitions, at least the cores."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)

@@ -89,3 +89,9 @@ def list_names(spark: SparkSession, path: str) -> list[str]:
         return sorted(os.listdir(local)) if os.path.isdir(local) else []
     _, target, fs = _fs(spark, path)
     return sorted(x.getPath().getName() for x in fs.listStatus(target)) if fs.exists(target) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, if it is there. Only for what no log names."""
+    _, target, fs = _fs(spark, path)
+    fs.delete(target, True)

@@ -14,7 +14,7 @@ from tidewright.operators.dedup import event_bounds, keep_first, keep_latest
 from tidewright.operators.ranges import coverage_runs
 from tidewright.operators.watermark import advance
 from tidewright.plans.transforms import checked
-from tidewright.session import materialise
+from tidewright.session import Scratch
 from tidewright.sources.commitlog import COMMITTED, INDETERMINATE, LakeLog
 from tidewright.sources.formats import write_sorted_parts
 from tidewright.streaming.landing import Landing
@@ -54,7 +54,12 @@ def drain(spark: SparkSession, landing: Landing, lake: LakeLog, d: DatasetDecl,
     done = []
     for w in eligible(landing.closed_windows(now_ms), now_ms, lateness_ms):
         rows = landing.rows([w])
-        outcomes = [] if rows is None else _seal(spark, lake, d, materialise(checked(rows, transform, ["partition", "window_id", "origin", "seq", d.time_col]), "window"), w)
+        outcomes = []
+        if rows is not None:
+            with Scratch(rows.sparkSession) as scratch:
+                rows = checked(rows, transform, ["partition", "window_id", "origin", "seq", d.time_col])
+                # landed parts are never rewritten; only what a transform makes of them could differ from one reading to the next
+                outcomes = _seal(spark, lake, d, rows if transform is None else scratch.table(rows, "window"), w)
         done += outcomes
         if outcomes and all(o == COMMITTED for _, _, o in outcomes):
             held = lake.manifests().where((F.col("dataset") == d.name) & (F.col("part_kind") != "snapshot")).select("partition", F.explode("origin_coverage").alias("r")).select("partition", "r.*")

@@ -22,7 +22,7 @@ from tidewright.operators.ranges import covered
 from tidewright.operators.skew import lookup_join
 from tidewright.operators.upkeep import content_bytes
 from tidewright.plans.transforms import checked
-from tidewright.session import materialise
+from tidewright.session import Scratch
 from tidewright.sources.commitlog import LakeLog
 from tidewright.types import APPLIED, SYSTEM_COLUMNS, InvalidInput, Overloaded, PayloadTooLarge, check_payload
 
@@ -123,13 +123,14 @@ class Landing:
                 return state.batches[identity]
             if self.capacity is not None and self.staged_bytes() >= self.capacity:
                 raise Overloaded(f"{self.capacity} bytes are staged")
-            entry = self._prepare(requests, identity, now_ms)
+            with Scratch(requests.sparkSession) as scratch:
+                entry = self._prepare(requests, identity, now_ms, scratch)
             if self.log.append(state.version, [entry]):
                 return entry
 
-    def _prepare(self, requests: DataFrame, identity: str, now_ms: int) -> dict:
+    def _prepare(self, requests: DataFrame, identity: str, now_ms: int, scratch: Scratch) -> dict:
         parsed = requests.select(resolved_tenant(F.col("tenant")).alias("tenant"), dedup_key(F.col("token"), F.col("request")).alias("dedup_key"), "request")
-        parsed = materialise(parsed.withColumn("parsed", parse_request(F.col("request"))), "requests")
+        parsed = scratch.table(parsed.withColumn("parsed", parse_request(F.col("request"))), "requests")
         bad = parsed.agg(F.count_if(~tenant_is_valid(F.col("tenant"))), F.count_if(F.col("parsed").isNull()), F.count_if(F.octet_length("request") > self.max_payload), F.count("*")).first()
         if bad[0] or bad[1]:
             raise InvalidInput(f"{bad[0]} invalid tenants, {bad[1]} malformed requests")
@@ -137,13 +138,14 @@ class Landing:
             raise PayloadTooLarge(f"{bad[2]} requests of more than {self.max_payload} bytes")
         one = parsed.groupBy("tenant", "dedup_key").agg(F.min_by("parsed", "request").alias("parsed"))
         fresh, _ = split_known(one, self.ledger(), now_ms, self.ttl_ms)
-        fresh = materialise(fresh, "fresh")
+        fresh = scratch.table(fresh, "fresh")
+        scratch.free("requests")
         window_id, opened = self.window(now_ms)
         rows = flatten_logs(fresh.withColumnRenamed("parsed", "request"), keep=["tenant", "dedup_key"])
         # blocks by content, so that a retried task numbers alike; rows equal in every column are interchangeable
         content = F.xxhash64(*rows.columns)
         rows = rows.withColumn("partition", partition_id(F.col("tenant"), F.lit(0))).withColumns({"__tw_h": content, "__tw_block": F.pmod(content, F.lit(BLOCKS)).cast("int")})
-        rows = materialise(rows, "flat")
+        rows = scratch.table(rows, "flat")
         counts = rows.groupBy("partition", "__tw_block").agg(F.count(F.lit(1)).alias("n"))
         before = F.coalesce(F.sum("n").over(Window.partitionBy("partition").orderBy("__tw_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         marks = self.spark.createDataFrame(sorted(self.high_waters().items()), "partition string, base bigint")
@@ -151,7 +153,7 @@ class Landing:
         # no partition is sorted as a whole: a block is, and its first number follows from the blocks before it
         payload = [c for c in rows.columns if c not in ("tenant", "partition", "dedup_key", "__tw_h", "__tw_block")]
         order = Window.partitionBy("partition", "__tw_block").orderBy("dedup_key", "__tw_h", *payload)
-        based = lookup_join(rows, materialise(bases, "bases"), ["partition", "__tw_block"], ["__tw_h"])
+        based = lookup_join(rows, scratch.table(bases, "bases"), ["partition", "__tw_block"], ["__tw_h"])
         numbered = based.withColumn("seq", (F.col("__tw_base") + F.row_number().over(order)).cast("bigint"))
         out = numbered.select("tenant", "partition", F.lit(window_id).cast("bigint").alias("window_id"), F.lit(self.origin).alias("origin"), "seq", *payload)
         name = identity.replace("/", "-")
@@ -187,9 +189,10 @@ class Landing:
             old = [b for b in self._live() if b["window_id"] == window]
             if not old:
                 return ALREADY_GONE
-            left = covered(self.rows([window]), coverage, keep=False)
             name = f"residue-{window}-{len(self.log.state().batches)}-{self.log.state().version}"
-            left.write.mode("overwrite").parquet(f"{self.path}/{name}")
+            with Scratch(self.spark):
+                left = covered(self.rows([window]), coverage, keep=False)
+                left.write.mode("overwrite").parquet(f"{self.path}/{name}")
             kept = self.spark.read.schema(left.schema).parquet(f"{self.path}/{name}")
             n, size = kept.agg(F.count(F.lit(1)), F.coalesce(F.sum(content_bytes(kept.schema)), F.lit(0))).first()
             entry = None
