@@ -281,3 +281,17 @@ def test_landing_and_draining_leave_only_what_the_logs_name(spark, tmp_path):
         time.sleep(0.5)
     assert left <= 10
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+
+
+def test_dropping_under_coverage_deletes_its_shuffles(spark, tmp_path):
+    landing = Landing(spark, str(tmp_path), "n1")
+    land(spark, landing, [("t", f"{k}", request("ab", k)) for k in range(5)], 0, 1000)
+    half = spark.createDataFrame([("t.0", "n1", 1, 5)], "partition string, origin string, first_seq bigint, last_seq bigint")
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {n for n in (f.getName() for f in (blocks.getAllFiles().apply(k) for k in range(blocks.getAllFiles().size()))) if n.startswith("shuffle_") and n.endswith(".data")}
+    before = shuffles()
+    assert landing.drop_covered(0, half) == "residue_kept"
+    deadline = time.time() + 20  # files go in the background
+    while (left := shuffles() - before) and time.time() < deadline:
+        time.sleep(0.5)
+    assert sorted(r.seq for r in landing.rows([0]).collect()) == [6, 7, 8, 9, 10] and not left
