@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import os
+import re
 import threading
 import time
 from urllib.parse import urlparse
@@ -295,3 +296,57 @@ def test_dropping_under_coverage_deletes_its_shuffles(spark, tmp_path):
     while (left := shuffles() - before) and time.time() < deadline:
         time.sleep(0.5)
     assert sorted(r.seq for r in landing.rows([0]).collect()) == [6, 7, 8, 9, 10] and not left
+
+
+def moved_bytes(spark):
+    """Bytes that each stage wrote to shuffles, by stage."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return {s.stageId(): s.shuffleWriteBytes() for s in (stages.apply(k) for k in range(stages.size()))}
+
+
+def test_landing_and_sealing_move_a_record_once_each(spark, tmp_path):
+    texts = spark.range(400).select(F.concat(*[F.sha2(F.concat("id", F.lit(f"-{k}")), 512) for k in range(16)]).alias("t")).collect()
+    rows = [("t", f"{k}", request([r.t])) for k, r in enumerate(texts)]
+    size = sum(len(r.t) for r in texts) / 2  # hex digits, which are compressed
+    logs = DatasetDecl("logs", natural_key=("partition", "origin", "seq"))
+    landing, lake = Landing(spark, str(tmp_path / "landing"), "n1", window_ms=1), LakeLog(spark, str(tmp_path / "lake"))
+    before = max(moved_bytes(spark), default=-1)
+    land(spark, landing, rows, 0, 1000)
+    landed = moved_bytes(spark)
+    assert sum(n for k, n in landed.items() if k > before) < 2 * size
+    assert [o for *_, o in drain(spark, landing, lake, logs, 2**60, lateness_ms=0)] == [COMMITTED]
+    assert sum(n for k, n in moved_bytes(spark).items() if k > max(landed)) < 2 * size
+    got = Engine(spark, lake, [logs]).view("logs").collect()
+    assert sorted(r.body for r in got) == sorted(r.t for r in texts) and sorted(r.seq for r in got) == list(range(1, 401))
+
+
+def test_the_least_of_the_requests_with_one_token_is_landed(spark, tmp_path):
+    landing = Landing(spark, str(tmp_path), "n1")
+    sent = [("t", "1", request("b")), ("t", "1", request("ac")), ("t", "1", request("b")), ("t", "2", request("d")), ("u", "1", request("e"))]
+    entry = land(spark, landing, sent, 0, 1000)
+    assert (entry["rows"], entry["duplicates"]) == (4, 2)
+    assert sorted((r.tenant, r.body) for r in landing.rows().collect()) == [("t", "a"), ("t", "c"), ("t", "d"), ("u", "e")]
+    again = land(spark, landing, [*sent, ("t", "3", request("g")), ("t", "3", request("f"))], 1, 2000)
+    assert (again["rows"], again["duplicates"]) == (1, 6) and sorted(r.body for r in landing.rows().collect()) == ["a", "c", "d", "e", "f"]
+
+
+def test_a_window_is_sealed_alike_whether_its_key_has_the_partition(spark, tmp_path):
+    for k, key in enumerate([("partition", "body"), ("body",), ("partition", "window_id", "origin", "seq", "body")]):
+        logs = DatasetDecl("logs", natural_key=key)
+        landing, lake = Landing(spark, str(tmp_path / f"a{k}"), "n1", window_ms=1), LakeLog(spark, str(tmp_path / f"b{k}"))
+        land(spark, landing, [("t", "1", request("abca")), ("t", "2", request("cd")), ("u", "1", request("xx"))], 0, 1000)
+        assert [o for *_, o in drain(spark, landing, lake, logs, 2**60, lateness_ms=0)] == [COMMITTED] * 2
+        whole = "seq" in key
+        assert {(m.partition, m.rows, m.dedup_removed) for m in lake.manifests().collect()} == ({("t.0", 6, 0), ("u.0", 2, 0)} if whole else {("t.0", 4, 2), ("u.0", 1, 1)})
+        got = sorted((r.tenant, r.body) for r in Engine(spark, lake, [logs]).view("logs").collect())
+        assert got == ([("t", c) for c in "aabccd"] + [("u", "x")] * 2 if whole else [("t", c) for c in "abcd"] + [("u", "x")])
+        assert [sum(n.endswith(".parquet") for n in os.listdir(urlparse(f).path)) for f in lake.live_files("logs")] == [1, 1]
+
+
+def test_events_are_gathered_as_numbers(spark, data):
+    from tidewright.plans.lake_queries import requests
+
+    plan = requests(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.findall(r"collect_list\(struct\((\w+)", plan) == ["us"]

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 def _one(df: DataFrame, keys: Sequence[str], order: Sequence[str], newest: bool) -> DataFrame:
     # an aggregate instead of a ranked window: copies are combined before the shuffle and no key is sorted in one task
     rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
     pick = F.max_by if newest else F.min_by
     row = pick(F.struct(*[F.col(c) for c in rest]), F.struct(*[F.col(c) for c in order]))
     return df.groupBy(*keys).agg(row.alias("__tw_row")).select(*[F.col(c) if c in keys else F.col(f"__tw_row.{c}").alias(c) for c in df.columns])

@@ -26,11 +26,11 @@ def requests(spark: SparkSession, folder: str) -> DataFrame:
     part = F.floor((F.floor(F.col("us") / 1000) - F.col("lo")) * PARTS / (F.col("hi") - F.col("lo") + 1))
     # one row of bounds
     rows = events.crossJoin(F.broadcast(ends)).withColumn("part", part).withColumn("chunk", F.floor(F.col("event_id") / REQUEST_RECORDS))
-    value = lambda kind, c: F.struct(F.col(c).cast("string").alias(kind))
-    attribute = F.struct(F.lit("event_id").alias("key"), value("intValue", "event_id").alias("value"))
-    record = F.struct(F.concat(F.col("us").cast("string"), F.lit("000")).alias("timeUnixNano"), F.struct(F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("stringValue")).alias("body"), F.array(attribute).alias("attributes"))
-    # a request holds at most REQUEST_RECORDS records
-    one = rows.groupBy("event_type", "part", "chunk").agg(F.sort_array(F.collect_list(record)).alias("records"))
+    attribute = lambda e: F.struct(F.lit("event_id").alias("key"), F.struct(e["event_id"].cast("string").alias("intValue")).alias("value"))
+    record = lambda e: F.struct(F.concat(e["us"].cast("string"), F.lit("000")).alias("timeUnixNano"), F.struct(F.concat(F.lit("user "), e["user_id"].cast("string")).alias("stringValue")).alias("body"), F.array(attribute(e)).alias("attributes"))
+    # a request holds at most REQUEST_RECORDS records; they are rendered where they have been gathered, so that numbers are moved and not texts
+    one = rows.groupBy("event_type", "part", "chunk").agg(F.collect_list(F.struct("us", "event_id", "user_id")).alias("events"))
+    one = one.withColumn("records", F.sort_array(F.transform("events", record)))
     scope = F.array(F.struct(F.col("records").alias("logRecords")))
     body = F.to_json(F.struct(F.array(F.struct(scope.alias("scopeLogs"))).alias("resourceLogs")))
     return one.select(F.col("event_type").alias("tenant"), F.concat_ws("-", "event_type", "part", "chunk").alias("token"), body.alias("request"), "part")

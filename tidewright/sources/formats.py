@@ -41,10 +41,12 @@ def generated_logs(spark: SparkSession, n: int, incarnation: str) -> DataFrame:
     return spark.range(n).select(F.timestamp_micros(F.floor(i / 1000)).cast("timestamp_ntz").alias("ts"), F.lit(9).alias("severity_number"), F.lit("INFO").alias("severity_text"), F.concat(F.lit("loadgen record "), i.cast("string")).alias("body"), attrs.alias("attrs"))
 
 
-def write_sorted_parts(df: DataFrame, path: str, by: str, order: list[str]) -> None:
+def write_sorted_parts(df: DataFrame, path: str, by: str, order: list[str], placed: bool = False) -> None:
     """One folder ``__part=<value>`` with one sorted file per value of ``by``, all written by one job.
 
-    A part is one window of one partition, bounded by the landing's window and byte budget, so one task may hold it.
+    A part is one window of one partition, bounded by the landing's window and byte budget, so one task may hold it. ``placed``: the rows of a
+    value are in one task already, and aren't moved again.
     """
-    parts = df.withColumn("__part", F.col(by)).repartition("__part").sortWithinPartitions("__part", *order)
+    parts = df.withColumn("__part", F.col(by))
+    parts = (parts if placed else parts.repartition("__part")).sortWithinPartitions("__part", *order)
     parts.write.mode("errorifexists").partitionBy("__part").parquet(path)

@@ -28,6 +28,11 @@ def eligible(closed: list[dict], now_ms: int, lateness_ms: int = LATENESS_MS) ->
     return [w["window_id"] for w in closed if now_ms >= w["closed_ms"] + lateness_ms]
 
 
+def seal_key(d: DatasetDecl) -> tuple[str, ...]:
+    """The columns of which a sealed window has one row each; none if it keeps all rows."""
+    return d.key_cols if d.kind == CHANGELOG else d.natural_key
+
+
 def sealed_rows(rows: DataFrame, d: DatasetDecl) -> DataFrame:
     """One row per natural key: the first of an event, the latest of a changelog; without a key all rows."""
     if d.kind == CHANGELOG:
@@ -40,7 +45,9 @@ def window_manifests(rows: DataFrame, d: DatasetDecl) -> DataFrame:
     by = ["partition", "window_id"]
     cover = coverage_runs(rows, [*by, "origin"]).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("origin", "first_seq", "last_seq"))).alias("origin_coverage"))
     total = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("total"), *event_bounds(F.col(d.time_col)))
-    kept = sealed_rows(rows, d).groupBy(*by).agg(F.count(F.lit(1)).alias("rows")) if d.natural_key or d.kind == CHANGELOG else total.select(*by, F.col("total").alias("rows"))
+    # which row of a key is kept depends on its number only; what else a row has would be moved with it
+    needed = rows.select(*dict.fromkeys([*by, *seal_key(d), "origin", "seq"]))
+    kept = sealed_rows(needed, d).groupBy(*by).agg(F.count(F.lit(1)).alias("rows")) if seal_key(d) else total.select(*by, F.col("total").alias("rows"))
     out = total.join(kept, by, "left").join(cover, by, "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
     return out.select(F.lit(d.name).alias("dataset"), *by, "origin_coverage", "rows", "event_time_min_ms", "event_time_max_ms", (F.col("total") - F.col("rows")).alias("dedup_removed"))
 
@@ -78,7 +85,10 @@ def _seal(spark: SparkSession, lake: LakeLog, d: DatasetDecl, rows: DataFrame, w
     if not new:
         return outcomes
     folder = f"{encode_component(d.name)}/seal-{window}-{uuid.uuid4().hex[:12]}"
-    write_sorted_parts(sealed_rows(rows, d).where(F.col("partition").isin([m["partition"] for m in new])), f"{lake.path}/{folder}", "partition", d.seal_order())
+    # copies of a key that has the partition lie within one: moved to their part first, they are removed there
+    placed = "partition" in seal_key(d)
+    kept = sealed_rows(rows.repartition("partition") if placed else rows, d)
+    write_sorted_parts(kept.where(F.col("partition").isin([m["partition"] for m in new])), f"{lake.path}/{folder}", "partition", d.seal_order(), placed)
     numbers: dict[str, int] = {}
     for x in before:
         numbers[x["partition"]] = max(numbers.get(x["partition"], -1), x["window_id"])

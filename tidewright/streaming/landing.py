@@ -129,31 +129,39 @@ class Landing:
                 return entry
 
     def _prepare(self, requests: DataFrame, identity: str, now_ms: int, scratch: Scratch) -> dict:
-        parsed = requests.select(resolved_tenant(F.col("tenant")).alias("tenant"), dedup_key(F.col("token"), F.col("request")).alias("dedup_key"), "request")
-        parsed = scratch.table(parsed.withColumn("parsed", parse_request(F.col("request"))), "requests")
-        bad = parsed.agg(F.count_if(~tenant_is_valid(F.col("tenant"))), F.count_if(F.col("parsed").isNull()), F.count_if(F.octet_length("request") > self.max_payload), F.count("*")).first()
+        sent = requests.select(resolved_tenant(F.col("tenant")).alias("tenant"), dedup_key(F.col("token"), F.col("request")).alias("dedup_key"), "request")
+        checks = {"__tw_id": F.monotonically_increasing_id(), "__tw_malformed": parse_request(F.col("request")).isNull(), "__tw_bytes": F.octet_length("request")}
+        sent = scratch.table(sent.withColumns(checks), "requests")
+        bad = sent.agg(F.count_if(~tenant_is_valid(F.col("tenant"))), F.count_if("__tw_malformed"), F.count_if(F.col("__tw_bytes") > self.max_payload), F.count("*")).first()
         if bad[0] or bad[1]:
             raise InvalidInput(f"{bad[0]} invalid tenants, {bad[1]} malformed requests")
         if bad[2]:
             raise PayloadTooLarge(f"{bad[2]} requests of more than {self.max_payload} bytes")
-        one = parsed.groupBy("tenant", "dedup_key").agg(F.min_by("parsed", "request").alias("parsed"))
+        # what is fresh is decided by keys; no request's text is moved but those of a key that was sent more than once, of which the least is landed
+        one = sent.groupBy("tenant", "dedup_key").agg(F.count(F.lit(1)).alias("__tw_n"), F.min("__tw_id").alias("__tw_id"))
         fresh, _ = split_known(one, self.ledger(), now_ms, self.ttl_ms)
-        fresh = scratch.table(fresh, "fresh")
-        scratch.free("requests")
+        fresh = scratch.table(fresh, "keys")
+        n_fresh, repeated = fresh.agg(F.count(F.lit(1)), F.count_if(F.col("__tw_n") > 1)).first()
+        landed = fresh.select("__tw_id")
+        if repeated:
+            texts = lookup_join(sent.select("tenant", "dedup_key", "request", "__tw_id"), fresh.where("__tw_n > 1").select("tenant", "dedup_key"), ["tenant", "dedup_key"], ["__tw_id"], "inner")
+            least = texts.groupBy("tenant", "dedup_key").agg(F.min(F.struct("request", "__tw_id")).alias("__tw_least"))
+            landed = scratch.table(fresh.where("__tw_n = 1").select("__tw_id").unionAll(least.select("__tw_least.__tw_id")), "landed")
         window_id, opened = self.window(now_ms)
-        rows = flatten_logs(fresh.withColumnRenamed("parsed", "request"), keep=["tenant", "dedup_key"])
+        taken = lookup_join(sent.select("tenant", "dedup_key", "request", "__tw_id"), landed, ["__tw_id"], ["__tw_id"], "inner")
+        rows = flatten_logs(taken.select("tenant", "dedup_key", parse_request(F.col("request")).alias("request")), keep=["tenant", "dedup_key"])
         # blocks by content, so that a retried task numbers alike; rows equal in every column are interchangeable
-        content = F.xxhash64(*rows.columns)
-        rows = rows.withColumn("partition", partition_id(F.col("tenant"), F.lit(0))).withColumns({"__tw_h": content, "__tw_block": F.pmod(content, F.lit(BLOCKS)).cast("int")})
-        rows = scratch.table(rows, "flat")
+        block = F.pmod(F.xxhash64(*rows.columns), F.lit(BLOCKS)).cast("int")
+        rows = scratch.table(rows.withColumns({"partition": partition_id(F.col("tenant"), F.lit(0)), "__tw_block": block}), "flat")
+        scratch.free("requests")
         counts = rows.groupBy("partition", "__tw_block").agg(F.count(F.lit(1)).alias("n"))
         before = F.coalesce(F.sum("n").over(Window.partitionBy("partition").orderBy("__tw_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         marks = self.spark.createDataFrame(sorted(self.high_waters().items()), "partition string, base bigint")
         bases = counts.join(marks, "partition", "left").select("partition", "__tw_block", (F.coalesce("base", F.lit(0)) + before).alias("__tw_base"))
         # no partition is sorted as a whole: a block is, and its first number follows from the blocks before it
-        payload = [c for c in rows.columns if c not in ("tenant", "partition", "dedup_key", "__tw_h", "__tw_block")]
-        order = Window.partitionBy("partition", "__tw_block").orderBy("dedup_key", "__tw_h", *payload)
-        based = lookup_join(rows, scratch.table(bases, "bases"), ["partition", "__tw_block"], ["__tw_h"])
+        payload = [c for c in rows.columns if c not in ("tenant", "partition", "dedup_key", "__tw_block")]
+        order = Window.partitionBy("partition", "__tw_block").orderBy("dedup_key", *payload)
+        based = lookup_join(rows, scratch.table(bases, "bases"), ["partition", "__tw_block"], payload)
         numbered = based.withColumn("seq", (F.col("__tw_base") + F.row_number().over(order)).cast("bigint"))
         out = numbered.select("tenant", "partition", F.lit(window_id).cast("bigint").alias("window_id"), F.lit(self.origin).alias("origin"), "seq", *payload)
         name = identity.replace("/", "-")
@@ -161,12 +169,12 @@ class Landing:
         out = checked(out, self.transform, ["partition", "window_id", "origin", "seq"])
         check_payload(T.StructType([f for f in out.schema.fields if f.name not in SYSTEM_COLUMNS]))
         out.write.mode("overwrite").parquet(f"{self.path}/{staged}")
+        scratch.free("flat", "bases")
         known = fresh.select("tenant", "dedup_key", F.lit(identity).alias("outcome"), F.lit(now_ms).cast("bigint").alias("created_ms"))
         whole = len(self._ledger_parts()) >= LEDGER_PARTS
         (self.compact_ledger(now_ms).unionByName(known) if whole else known).write.mode("overwrite").parquet(f"{self.path}/{ledger}")
         kept = self.spark.read.parquet(f"{self.path}/{staged}")
         tops = kept.groupBy("partition").agg(F.max("seq").alias("n"), F.count("*").alias("rows"), F.sum(content_bytes(kept.schema)).alias("bytes")).collect()  # one row per partition of the batch
-        n_fresh = fresh.count()
         return {
             "do": "batch", "id": identity, "order": len(self._batches()), "window_id": window_id, "opened_ms": opened, "staged": staged if tops else None, "ledger": ledger if n_fresh or whole else None, "ledger_whole": whole,
             "applied": {r["partition"]: r["n"] for r in tops}, "rows": sum(r["rows"] for r in tops), "bytes": sum(r["bytes"] for r in tops), "duplicates": bad[3] - n_fresh,
@@ -190,8 +198,12 @@ class Landing:
             if not old:
                 return ALREADY_GONE
             name = f"residue-{window}-{len(self.log.state().batches)}-{self.log.state().version}"
-            with Scratch(self.spark):
-                left = covered(self.rows([window]), coverage, keep=False)
+            with Scratch(self.spark) as scratch:
+                rows, number = self.rows([window]), ["partition", "origin", "seq"]
+                # whether a row is covered depends on its number only, so whole rows are moved for a residue alone
+                found = scratch.table(covered(rows.select(*number), coverage, keep=False), "left")
+                same = [rows[c].eqNullSafe(found[c]) for c in number]
+                left = rows.join(found, same, "left_semi")
                 left.write.mode("overwrite").parquet(f"{self.path}/{name}")
                 kept = self.spark.read.schema(left.schema).parquet(f"{self.path}/{name}")
                 n, size = kept.agg(F.count(F.lit(1)), F.coalesce(F.sum(content_bytes(kept.schema)), F.lit(0))).first()
